@@ -28,33 +28,51 @@ from .common import cut
 SEQUENCE = 2048
 SEPARATOR = 0
 SHARD_PIECES = 100_000
-KNOWN_WORDS = 300_000  # entries of a worker's memory of encoded words, cleared when full; results don't depend on it
+KNOWN_WORDS = 500_000  # entries of a worker's memory of encoded words, cleared when full; results don't depend on it
+
+
+MARK = "\x01"  # stands between stretches that are encoded together
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    (mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
+    return tokenizer, mark, {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens.
 
     The tokenizer drops white space and never joins what it parts, so a text's
-    ids are those of its stretches between ASCII white space in a row; each
-    distinct stretch is encoded once.
+    ids are those of its stretches between ASCII white space in a row. Each
+    distinct stretch is encoded once, many in one call with MARK in between;
+    those that hold MARK or the opening of a special token go one by one. As the
+    tokenizer lower-cases, texts without such an opening are lower-cased first.
     """
-    tokenizer, known = _tokenizer(path)
-    parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    fresh = list(set().union(*parts) - known.keys())
+    tokenizer, mark, known = _tokenizer(path)
+    parts = []
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        parts.append((raw if b"<|" in raw else raw.lower()).split())
+    fresh = set().union(*parts) - known.keys()
     if len(known) + len(fresh) > KNOWN_WORDS:
         known.clear()
-        fresh = list(set().union(*parts))
-    for at in range(0, len(fresh), 10_000):
-        some = fresh[at : at + 10_000]
-        for word, got in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        fresh = set().union(*parts)
+    plain = [w for w in fresh if MARK.encode() not in w and b"<|" not in w]
+    for word in fresh.difference(plain):
+        known[word] = np.array(tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    between = f" {MARK} ".encode()
+    for at in range(0, len(plain), 5_000):
+        some = plain[at : at + 5_000]
+        (got,) = tokenizer.encode_batch_fast([between.join(some).decode("utf-8", "surrogatepass")], add_special_tokens=False)
+        ids = np.array(got.ids, dtype="<u4")
+        stops = np.flatnonzero(ids == mark).tolist()
+        buffer = ids.tobytes()
+        for word, start, stop in zip(some, [-1, *stops], [*stops, len(ids)], strict=True):
+            known[word] = buffer[4 * start + 4 : 4 * stop]
     return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, quality_rules, simhash, url_filter
+from . import fingerprints, mixing, packing, quality_rules, simhash, toxicity, url_filter
 
 #: Where the public tokenizers' files are; every query that needs one takes the path from here.
 TOKENIZERS = os.environ.get("GRADELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
