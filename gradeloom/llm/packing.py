@@ -28,7 +28,7 @@ from .common import cut
 SEQUENCE = 2048
 SEPARATOR = 0
 SHARD_PIECES = 100_000
-KNOWN_WORDS = 500_000  # entries of a worker's memory of encoded words, cleared when full; results don't depend on it
+KNOWN_WORDS = 1_000_000  # entries of a worker's memory of encoded words, cleared when full; results don't depend on it
 
 
 MARK = "\x01"  # stands between stretches that are encoded together
@@ -57,10 +57,12 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
         parts.append((raw if b"<|" in raw else raw.lower()).split())
-    fresh = set().union(*parts) - known.keys()
+    ready = [list(map(known.get, p)) for p in parts]
+    waiting = [k for k, found in enumerate(ready) if None in found]
+    fresh = {w for k in waiting for w, ids in zip(parts[k], ready[k]) if ids is None}
     if len(known) + len(fresh) > KNOWN_WORDS:
         known.clear()
-        fresh = set().union(*parts)
+        waiting, fresh = range(len(parts)), set().union(*parts)
     plain = [w for w in fresh if MARK.encode() not in w and b"<|" not in w]
     for word in fresh.difference(plain):
         known[word] = np.array(tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -73,7 +75,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         buffer = ids.tobytes()
         for word, start, stop in zip(some, [-1, *stops], [*stops, len(ids)], strict=True):
             known[word] = buffer[4 * start + 4 : 4 * stop]
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+    for k in waiting:
+        ready[k] = list(map(known.__getitem__, parts[k]))
+    return list(map(b"".join, ready))
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
