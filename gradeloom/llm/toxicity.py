@@ -117,7 +117,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, rows: int, seed: int =
     return joined.mapInArrow(scan, "toxic int, found binary, other binary")
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 1.0, l1: float = 3e-5, rounds: int = 400) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 1.0, l1: float = 5e-6, rounds: int = 500) -> Model:
     """Logistic regression plus ``counterfactual`` times the squared logit change of each swapped text, by proximal AdaGrad.
 
     Rows are (label, features, swapped features). Features in fewer than
