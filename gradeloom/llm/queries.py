@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, quality_rules, simhash, toxicity, url_filter, warc
+from . import fingerprints, kneser_ney, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
 
 #: Where the public tokenizers' files are; every query that needs one takes the path from here.
 TOKENIZERS = os.environ.get("GRADELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -49,13 +49,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op8_warc, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op7_quality_lm, op8_warc, op9_lm_score, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
