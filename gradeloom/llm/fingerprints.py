@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 LANES = 1024
 SPAN = 5
-PARAGRAPH = re.compile(rf"\s*(?:[^\s.!?]+[^\S\n]*){{1,{SPAN}}}[.!?]*|\s*[.!?]+|\s+")
+PARAGRAPH = re.compile(rf"(?:[^\s.!?]+[^\S\n]*){{1,{SPAN}}}[.!?]*\s*|[.!?]+\s*|\s+")
 STEP = np.uint64(0x9E3779B97F4A7C15)  # splitmix64's increment and multipliers
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 BLOCK = 4096
