@@ -65,7 +65,7 @@ def signals(text: Column) -> dict[str, Column]:
         "n_dup_lines": let(worded_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": let(words, repeated_words),
         "n_lines": F.size(worded_lines(text)).cast("long"),
-        "n_shouts": F.regexp_count(text, F.lit(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)")).cast("long"),
+        "n_shouts": F.regexp_count(text, F.lit(r"[!?]{2,}(?=[\x20\x09-\x0D]|\z)")).cast("long"),
     }
 
 
@@ -157,3 +157,21 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns as they are; each rule is computed only where the earlier ones passed."""
     order = [m.rule for m in plan_cascade(docs, rules)]
     return docs.where(first_failure(order, signals(docs["text"])).isNull())
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS window_text FROM w, unnest(range(1, len(words) - 6)) u(i) WHERE len(words) >= 8),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, window_text) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '[!?]{2,}([\x20\x09-\x0D]|$)')) AS n_shouts
+      FROM w LEFT JOIN covered USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_shouts > 30 * n_words OR word_chars > 40 * n_words OR word_chars < n_words * 3 / 2 OR 100 * n_dup_lines > 60 * n_lines) AS kept
+FROM f
+"""

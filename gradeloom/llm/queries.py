@@ -66,4 +66,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op7_quality_lm, op8_warc, op9_lm_score, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality_rules.ORACLE}

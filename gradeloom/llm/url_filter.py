@@ -119,3 +119,28 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
 
 def _parts(key: Column) -> tuple[Column, Column]:
     return F.regexp_extract(key, r"(?s)^([^/]*)", 1).alias("host"), F.regexp_extract(key, r"(?s)^[^/]*([^?]*)", 1).alias("path")
+
+
+ORACLE = r"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw_host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme FROM pages),
+found AS (SELECT *, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\bcontent\s*=\s*["'']?\s*\d*\s*;?\s*url\s*=\s*["'']?\s*([^"''>\s]+)', 1)]) AS link FROM p WHERE contains(url, '://')),
+links AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '(?i)^https?://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN starts_with(link, '/') THEN scheme || '://' || raw_host || link WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+    ELSE scheme || '://' || raw_host || CASE WHEN regexp_extract(path, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || link END AS target FROM found),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM links) WHERE url IS NOT NULL),
+keyed AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^[^#]*?(\?[^#]*)', 1) AS query FROM urls),
+named AS (SELECT url, host, path, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key FROM keyed),
+edges AS (SELECT DISTINCT a.key AS a, b.key AS b FROM links l JOIN named a ON l.url = a.url JOIN named b ON l.target = b.url WHERE a.key <> b.key),
+sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+nodes AS (SELECT key, split_part(key, '/', 1) AS host, regexp_extract(key, '(?s)^[^/]*([^?]*)', 1) AS path FROM (SELECT DISTINCT b AS key FROM sides)),
+rules(rule_host, rule_path, decision) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+places AS (SELECT DISTINCT host, path FROM (SELECT host, path FROM nodes UNION ALL SELECT coalesce(host, ''), coalesce(path, '') FROM named)),
+best AS (SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(decision, length(rule_host || rule_path)) AS decision
+    FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1, 2),
+shared AS (SELECT a AS key, bool_or(decision = 'allow') AS allowed, bool_or(decision = 'block') AS blocked FROM (SELECT a, b FROM reach UNION SELECT a, a FROM sides) r JOIN nodes ON nodes.key = r.b JOIN best USING (host, path) GROUP BY 1),
+own AS (SELECT page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.key FROM pages LEFT JOIN named n ON pages.url = n.url)
+SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM own LEFT JOIN best USING (host, path) LEFT JOIN shared USING (key)
+"""

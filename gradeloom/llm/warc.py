@@ -238,3 +238,15 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     manifest = write_archives(pages, fresh_folder(pages.sparkSession, "warc"), min_bytes)
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, list_transform(range(8), lambda j: CAST('0x' || substr(hex, CAST(5 * j + 1 AS BIGINT), 5) AS BIGINT)) AS v FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x // CAST(pow(2, k) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+       CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM b
+"""
