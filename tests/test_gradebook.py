@@ -100,7 +100,7 @@ def grid(sheet, rows):
 
 def test_sheet_layouts(spark):
     official = [["القسم", ":", "1A", "", "", ""], ["رقم التلميذ", "إسم التلميذ", "الفرض الأول", "", "الفرض الثاني", ""], ["", "", "النقطة", "x", "النقطة", "x"]] + [[k, "محمد علي", 12.5, "", 9, ""] for k in range(1, 6)]
-    content = [[k, "Karim Alaoui", 11.5, 9, 17, 18.25, 3] for k in range(1, 9)]
+    content = [[k, "محمد العلوي", 11.5, 9, 17, 18.25, 3] for k in range(1, 9)]
     small = [["اسم", "x"], ["a b", 1], ["c d", 2], ["e f", 3]]
     cells = spark.createDataFrame(grid(1, official) + grid(2, content) + grid(3, small), CELLS)
     got = {r["sheet_id"]: r for r in H.infer_structure(cells).collect()}
