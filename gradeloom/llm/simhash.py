@@ -153,12 +153,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+SKETCH = 128  # hashes that a text's similarity is estimated from; texts with fewer shingles are compared exactly
+
+
+def sketch(words: list[bytes], shingle: int = 5, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` smallest distinct hashes of the word shingles (fewer words: the whole sequence; none: empty), sorted."""
+    if len(words) < shingle:
+        parts = [b" ".join(words)] if words else []
+    else:
+        parts = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(p) for p in parts), dtype="<u8"))[:size]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Similarity of two texts from their sketches: among the smallest hashes of the union, the share that both have."""
+    union = np.union1d(a, b)[:size]
+    return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, max_bits: int = 12) -> DataFrame:
+    """(doc_id, component_id) of texts joined by a shingle similarity of at least ``similarity``.
+
+    Candidates come from Golay keys of SimHash fingerprints over
+    ``print_shingle``-word shingles: for each pair of segments every text stands
+    under all codewords around both, so two texts meet if two of the three
+    segments differ in two bits or less (always up to five bits, mostly up to
+    seven). Under a key each text is compared with one other, the key's smallest,
+    so candidates grow with the texts however large a group is; those more than
+    ``max_bits`` apart are left out, the rest are verified by the similarity of
+    their ``shingle``-word shingles. Equal texts are one from the start.
+    component_id is the smallest doc_id of a component, null if none has an id.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, sketches = [], [], []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                prints.append(fingerprint(text, print_shingle))
+                sketches.append(sketch(words, shingle).tobytes())
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sketches, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
+
+    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long, fp long, sketch binary"), "similar-texts")
+    nodes = cut(texts.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "similar-nodes")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, rest, errors = golay_tables()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                node, fp = (batch.column(k)[at : at + 5_000].to_numpy(zero_copy_only=False) for k in range(2))
+                around, real = [], []
+                for first, bits in SEGMENTS:
+                    v = (fp.view(np.uint64) >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+                    codes = index[v[:, None] ^ errors[rest[v]]].astype(np.int64)
+                    around.append(codes)
+                    real.append(np.concatenate([np.ones((len(v), 1), bool), codes[:, 1:] != codes[:, :1]], axis=1))
+                for p, (i, j) in enumerate(PAIRS):
+                    key = (p << 24) + (around[i][:, :, None] << 12) + around[j][:, None, :]
+                    some = real[i][:, :, None] & real[j][:, None, :]
+                    times = some.sum((1, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int32)), pa.array(np.repeat(node, times)), pa.array(np.repeat(fp, times))], names=["key", "node", "fp"])
+
+    keyed_nodes = cut(nodes.select("node", "fp").mapInArrow(keys, "key int, node long, fp long"), "similar-keys")
+    heads = keyed_nodes.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp"))
+    near = keyed_nodes.join(heads, "key").where((F.col("node") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= max_bits))
+    pairs = near.select("node", "head").distinct()
+    own = nodes.select("node", "sketch")
+    both = pairs.join(own, "node").join(own.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda x: np.frombuffer(x.as_py(), dtype="<u8")
+        for batch in batches:
+            alike = pa.array([jaccard(read(a), read(b)) >= similarity for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
+
+    edges = both.select("node", "head", "sketch", "other").mapInArrow(verify, "a long, b long")
+    groups = connected_components(edges, "similar-links")
+    grouped = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    return texts.select("doc_id", "node").join(grouped.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id (of repeated ids the one row with the smallest text).
+    """``docs`` with one document of each of the ``similar_groups``: that with the smallest doc_id (of repeated ids the one row with the smallest text).
 
     Rows whose doc_id is null can't be named as one of a group; they stay.
     """
-    kept = near_duplicates(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_groups(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
     columns, spare = docs.columns, "__place_in_id"
     first = F.row_number().over(_by_id())
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")

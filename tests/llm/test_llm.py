@@ -352,6 +352,35 @@ def test_simhash(spark, docs, edge):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingles(text, n=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    texts, want = {}, {}
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(300)]
+        for copy in range(6):
+            now = list(base)
+            for _ in range(copy if copy < 4 else 0):
+                now[rng.randrange(300)] = rng.choice(words)
+            texts[10 * group + copy], want[10 * group + copy] = " ".join(now), 10 * group
+        rng.shuffle(base)
+        texts[10 * group + 9], want[10 * group + 9] = " ".join(base), 10 * group + 9  # the same words in another order
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+    a, b = (np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5))
+    assert simhash.jaccard(a, b, 200) == pytest.approx(95 / 105)
+
+
 # toxicity
 
 
@@ -553,9 +582,13 @@ def test_pipeline(spark, sf):
     kept = {i for (i,) in pairs(seen["quality rules"], "doc_id")}
     assert kept <= set(good)
     single = pairs(seen["near-duplicates"], "doc_id", "text")
-    marks = [plain_fingerprint(t) for _, t in single]
-    assert all(bin(a ^ b).count("1") > 3 for k, a in enumerate(marks) for b in marks[:k])
     assert len({t for _, t in single}) == len(single)
+    marks = [shingles(t) for _, t in single]
+    assert not any(alike(a, b) >= 0.9 for k, a in enumerate(marks) for b in marks[:k])
+    kept = {i for i, _ in single}
+    for i, t in pairs(seen["toxicity"], "doc_id", "text"):  # what went was like something that isn't alone
+        if i not in kept:
+            assert any(alike(shingles(t), shingles(u)) > 0.7 for j, u in pairs(seen["toxicity"], "doc_id", "text") if j != i)
     mixed = Counter(i for (i,) in pairs(seen["source mix"], "doc_id"))
     assert set(mixed) <= {i for i, _ in single} and max(mixed.values()) <= 3
     packed = seen["packing"].collect()
