@@ -13,6 +13,7 @@ also counts nothing. Pieces come longest first.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +41,9 @@ def _tokenizer(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     (mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
-    return tokenizer, mark, {}
+    bare = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
+    ends = {e: np.array(tokenizer.encode(e.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for e in (b".", b",")}
+    return tokenizer, bare, mark, ends, {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -50,9 +53,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     ids are those of its stretches between ASCII white space in a row. Each
     distinct stretch is encoded once, many in one call with MARK in between;
     those that hold MARK or the opening of a special token go one by one. As the
-    tokenizer lower-cases, texts without such an opening are lower-cased first.
+    tokenizer lower-cases, texts without such an opening are lower-cased first; a
+    full stop or comma after a letter is a token of its own; and Latin-1 text in
+    lower case needs no normalising.
     """
-    tokenizer, mark, known = _tokenizer(path)
+    tokenizer, bare, mark, ends, known = _tokenizer(path)
     parts = []
     for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
@@ -63,18 +68,25 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(known) + len(fresh) > KNOWN_WORDS:
         known.clear()
         waiting, fresh = range(len(parts)), set().union(*parts)
-    plain = [w for w in fresh if MARK.encode() not in w and b"<|" not in w]
-    for word in fresh.difference(plain):
+    stops = {w for w in fresh if w[-1:] in ends and w[-2:-1].isalpha() and b"<|" not in w}
+    asked = fresh.difference(stops).union({w[:-1] for w in stops} - known.keys())
+    plain = [w for w in asked if MARK.encode() not in w and b"<|" not in w]
+    for word in asked.difference(plain):
         known[word] = np.array(tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
     between = f" {MARK} ".encode()
     for at in range(0, len(plain), 5_000):
         some = plain[at : at + 5_000]
-        (got,) = tokenizer.encode_batch_fast([between.join(some).decode("utf-8", "surrogatepass")], add_special_tokens=False)
+        text = between.join(some).decode("utf-8", "surrogatepass")
+        if latin := max(text) <= "\xff":
+            text = text.lower()
+        (got,) = (bare if latin else tokenizer).encode_batch_fast([text], add_special_tokens=False)
         ids = np.array(got.ids, dtype="<u4")
-        stops = np.flatnonzero(ids == mark).tolist()
+        edges = np.flatnonzero(ids == mark).tolist()
         buffer = ids.tobytes()
-        for word, start, stop in zip(some, [-1, *stops], [*stops, len(ids)], strict=True):
+        for word, start, stop in zip(some, [-1, *edges], [*edges, len(ids)], strict=True):
             known[word] = buffer[4 * start + 4 : 4 * stop]
+    for word in stops:
+        known[word] = known[word[:-1]] + ends[word[-1:]]
     for k in waiting:
         ready[k] = list(map(known.__getitem__, parts[k]))
     return list(map(b"".join, ready))
