@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """A derived table that several branches of one query read: computed once, spilled to disk if need be, recomputed where an executor is lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _class(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return D.students(spark, sf), D.detected(spark, sf)
 
@@ -212,8 +218,8 @@ writes AS (SELECT sheet_id, row_idx, target_col AS col_idx, number, printf('%.2f
 
 
 def _match(spark, sf):
-    pupils = M.with_keys(D.pupils(spark, sf))
-    roster = M.with_keys(D.roster(spark, sf)).drop("name")
+    pupils = _held(M.with_keys(D.pupils(spark, sf)))
+    roster = _held(M.with_keys(D.roster(spark, sf)).drop("name"))
     return pupils, roster, M.match_rows(pupils, roster)
 
 
@@ -323,13 +329,13 @@ def review_queue(spark, sf):
 
 @query()
 def sheet_structures(spark, sf):
-    s = H.infer_structure(D.cells(spark, sf))
+    s = H.infer_structure(_held(D.cells(spark, sf)))
     return s.select("sheet_id", "n_rows", "n_cols", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), F.to_json("confidence").alias("confidence"), F.to_json("headers").alias("headers"), F.to_json("extra_cols").alias("extra_cols"), "valid")
 
 
 @query()
 def sheet_structures_corrected(spark, sf):
-    s = H.infer_structure(D.cells(spark, sf), "corrected")
+    s = H.infer_structure(_held(D.cells(spark, sf)), "corrected")
     return s.select("sheet_id", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), "valid")
 
 
@@ -345,7 +351,7 @@ def official_layouts(spark, sf):
 
 @query()
 def sheet_available_types(spark, sf):
-    cells = D.cells(spark, sf)
+    cells = _held(D.cells(spark, sf))
     return H.available_types(cells, H.infer_structure(cells))
 
 
@@ -363,7 +369,7 @@ def score_label_columns(spark, sf):
 
 @query()
 def roster_names(spark, sf):
-    cells = D.cells(spark, sf)
+    cells = _held(D.cells(spark, sf))
     return M.roster_names(cells, H.infer_structure(cells))
 
 
@@ -419,8 +425,8 @@ def broken_replies(spark, sf):
 
 def _chosen(spark, sf):
     replies = D.replies(spark, sf)
-    parsed = R.parse_json_replies(replies)
-    return R.choose_sources(_keyed(R.students_from_json(parsed)), _keyed(R.students_from_text(replies)), parsed)
+    parsed = _held(R.parse_json_replies(replies))
+    return R.choose_sources(_held(_keyed(R.students_from_json(parsed))), _held(_keyed(_held(R.students_from_text(replies)))), parsed)
 
 
 @query()
