@@ -326,14 +326,44 @@ def review_queue(spark, sf):
 
 # sheets
 
+_LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+_GIVEN, _FAMILY = _LIST(D.GIVEN), _LIST(D.FAMILY)
+_CELLS = f"""
+WITH people AS (SELECT p_partkey // 40 AS sheet_id, p_partkey % 40 + 1 AS i, p_partkey // 40 % 4 AS way, lower(p_name || ' ' || p_type) AS latin,
+  {_GIVEN}[(p_partkey % 40 + 1 + p_partkey // 40) % 10 + 1] || ' ' || {_FAMILY}[(p_partkey % 40 + 1) * 3 % 8 + 1] AS arabic FROM part WHERE p_partkey // 40 % 4 <> 3 OR p_partkey % 40 < 2),
+given AS (SELECT *, [((i * 7 + sheet_id * 3 + k * 5) % 81) / 4 for k in range(5)] AS m FROM people),
+body AS (SELECT sheet_id, i + CASE way WHEN 0 THEN 2 WHEN 2 THEN -1 ELSE 0 END AS row_idx, CASE way WHEN 0 THEN [i::VARCHAR, arabic, m[1]::VARCHAR, 'ok', m[2]::VARCHAR, ''] WHEN 2 THEN [i::VARCHAR, arabic, m[1]::VARCHAR, m[2]::VARCHAR, m[3]::VARCHAR, m[4]::VARCHAR, m[5]::VARCHAR] ELSE [i::VARCHAR, latin, m[1]::VARCHAR, m[2]::VARCHAR, m[3]::VARCHAR] END AS c,
+  CASE way WHEN 0 THEN 'nsnsne' WHEN 2 THEN 'nsnnnnn' ELSE 'nsnnn' END AS kinds FROM given),
+heads AS (SELECT DISTINCT sheet_id, way FROM people),
+tops AS (SELECT sheet_id, 0 AS row_idx, ['القسم', ':', 'class ' || sheet_id, 'المستوى', '3', ''] AS c, 'ssssse' AS kinds FROM heads WHERE way = 0
+  UNION ALL SELECT sheet_id, 1, ['رقم التلميذ', 'إسم التلميذ', 'الفرض الأول', '', 'الفرض الثاني', ''], 'sssese' FROM heads WHERE way = 0
+  UNION ALL SELECT sheet_id, 2, ['', '', 'النقطة', 'ملاحظة', 'النقطة', 'ملاحظة'], 'eessss' FROM heads WHERE way = 0
+  UNION ALL SELECT sheet_id, 0, ['رقم', 'Nom et prénom', 'فرض 1', 'اختبار 2', 'تقويم'], 'sssss' FROM heads WHERE way IN (1, 3)),
+cells AS (SELECT sheet_id, CAST(row_idx AS INT) AS row_idx, CAST(k AS INT) AS col_idx, kinds[k + 1] AS kind, c[k + 1] AS str FROM (SELECT *, unnest(range(len(c))) AS k FROM (FROM body UNION ALL FROM tops))),
+filled AS (SELECT * FROM cells WHERE kind = 's'),
+sizes AS (SELECT sheet_id, max(row_idx) + 1 AS n_rows, max(col_idx) + 1 AS n_cols FROM cells GROUP BY 1),
+-- sheets without titles: five mark columns from the third on; a far higher first average makes activities sure
+means AS (SELECT sheet_id, k, avg(m[k + 1]) AS a FROM given, range(5) r(k) WHERE way = 2 AND i > 1 GROUP BY 1, 2),
+far AS (SELECT sheet_id, CASE WHEN max(a) - min(a) > 3 AND max(a) > 10 THEN arg_max(k, (a, -k)) ELSE -1 END AS far_at FROM means GROUP BY 1),
+sure AS (SELECT sheet_id, [CASE WHEN far_at = k THEN 0.3 ELSE [0.8, 0.7, 0.6][k + 1] END for k in range(3)] AS conf, CASE WHEN far_at >= 0 THEN 0.9 ELSE 0.5 END AS last FROM far),
+structure AS (SELECT h.sheet_id, way, n_rows, n_cols, conf, last, CASE way WHEN 0 THEN [2, 4, -1, -1, -1] WHEN 2 THEN [CASE WHEN conf[1] > 0.5 THEN 3 ELSE -1 END, CASE WHEN conf[2] > 0.5 THEN 4 ELSE -1 END, CASE WHEN conf[3] > 0.5 THEN 5 ELSE -1 END, 6, -1] ELSE [2, 3, -1, -1, -1] END AS cols
+  FROM heads h JOIN sizes USING (sheet_id) LEFT JOIN sure USING (sheet_id)),
+labels AS (SELECT sheet_id, row_idx, col_idx, mark_type FROM filled, (VALUES {", ".join(f"('{t}', {_LIST(V.TEST_LABELS[t])})" for t in TYPES)}) v(mark_type, words) WHERE row_idx < 6 AND len(list_filter(words, lambda w: contains(str, w))) > 0)
+"""
+_JSON_TYPES = lambda of: "'{' || " + " || ',' || ".join(f"'\"{t}\":' || {of(k + 1)}" for k, t in enumerate(TYPES)) + " || '}'"
+
 
-@query()
+@query(_CELLS + f"""SELECT s.sheet_id, n_rows, n_cols, CASE way WHEN 0 THEN 'official' ELSE 'generic' END AS layout, 1 AS name_col, 0 AS id_col, {_JSON_TYPES(lambda k: f"cols[{k}]")} AS mark_cols,
+{_JSON_TYPES(lambda k: f"CASE way WHEN 2 THEN {'last' if k == 5 else '0.55' if k == 4 else f'conf[{k}]'}::DOUBLE WHEN 0 THEN {0.9 if k < 3 else 0.0}::DOUBLE ELSE {0.9 if k == 1 else 0.0}::DOUBLE END")} AS confidence,
+'[' || heading || ']' AS headers, CASE WHEN way IN (1, 3) THEN '[{{"index":4,"header":"تقويم"}}]' ELSE '[]' END AS extra_cols, n_rows >= 5 AS valid
+FROM structure s JOIN (SELECT sheet_id, string_agg('"' || CASE WHEN kind = 'n' AND str::DOUBLE = 0 THEN '' ELSE str END || '"', ',' ORDER BY col_idx) AS heading FROM cells JOIN heads USING (sheet_id) WHERE row_idx = CASE WHEN way = 0 THEN 1 ELSE 0 END GROUP BY 1) USING (sheet_id)""")
 def sheet_structures(spark, sf):
     s = H.infer_structure(_held(D.cells(spark, sf)))
     return s.select("sheet_id", "n_rows", "n_cols", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), F.to_json("confidence").alias("confidence"), F.to_json("headers").alias("headers"), F.to_json("extra_cols").alias("extra_cols"), "valid")
 
 
-@query()
+@query(_CELLS + f"""SELECT sheet_id, CASE way WHEN 0 THEN 'official' ELSE 'generic' END AS layout, 1 AS name_col, 0 AS id_col, {_JSON_TYPES(lambda k: f"corrected[{k}]")} AS mark_cols, n_rows >= 5 AS valid
+FROM (SELECT *, CASE way WHEN 2 THEN [CASE WHEN conf[1] > 0.5 THEN 2 ELSE -1 END, CASE WHEN conf[2] > 0.5 THEN 3 ELSE -1 END, CASE WHEN conf[3] > 0.5 THEN 4 ELSE -1 END, 5, CASE WHEN last > 0.5 THEN 6 ELSE -1 END] ELSE cols END AS corrected FROM structure)""")
 def sheet_structures_corrected(spark, sf):
     s = H.infer_structure(_held(D.cells(spark, sf)), "corrected")
     return s.select("sheet_id", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), "valid")
@@ -349,31 +379,42 @@ def official_layouts(spark, sf):
     return H.official_layout(D.cells(spark, sf))
 
 
-@query()
+@query(_CELLS + f"""SELECT s.sheet_id, {", ".join(f"CASE WHEN found IS NOT NULL THEN list_contains(found, '{t}') ELSE cols[{k + 1}] >= 0 END AS has_{t}" for k, t in enumerate(TYPES))}
+FROM structure s LEFT JOIN (SELECT sheet_id, list(mark_type) AS found FROM labels GROUP BY 1) USING (sheet_id)""")
 def sheet_available_types(spark, sf):
     cells = _held(D.cells(spark, sf))
     return H.available_types(cells, H.infer_structure(cells))
 
 
-@query()
+@query(_CELLS + r""", t AS (SELECT sheet_id, row_idx, col_idx, trim(str) AS t FROM filled WHERE row_idx BETWEEN 1 AND 10),
+one AS (SELECT sheet_id, col_idx, least(1.0, sum(1.5 * (regexp_matches(t, '[\x{0600}-\x{06FF}a-zA-Z]') AND length(t) >= 2)::INT + (len(regexp_split_to_array(t, '\s+')) >= 2)::INT
+  + 0.5 * (NOT regexp_full_match(t, '\d+'))::INT + 0.3 * (NOT regexp_matches(t, '\d{2}[-/]\d{2}[-/]\d{4}'))::INT) / (count(*) * 3.3)) AS score FROM t GROUP BY 1, 2),
+p AS (SELECT sheet_id, row_idx, col_idx, l.t || coalesce(' ' || r.t, '') AS t FROM t l LEFT JOIN (SELECT sheet_id, row_idx, col_idx - 1 AS col_idx, t FROM t) r USING (sheet_id, row_idx, col_idx)
+  UNION ALL SELECT sheet_id, row_idx, col_idx - 1, t FROM t WHERE NOT EXISTS (FROM t l WHERE l.sheet_id = t.sheet_id AND l.row_idx = t.row_idx AND l.col_idx = t.col_idx - 1)),
+two AS (SELECT sheet_id, col_idx, least(1.0, sum(1.5 * (regexp_matches(t, '[\x{0600}-\x{06FF}a-zA-Z]') AND length(t) >= 3)::INT + (len(regexp_split_to_array(t, '\s+')) >= 2)::INT + 0.5 * (NOT regexp_full_match(t, '\d+'))::INT) / (count(*) * 3.0)) AS score
+  FROM p JOIN sizes USING (sheet_id) WHERE col_idx >= 0 AND col_idx + 1 < n_cols GROUP BY 1, 2)
+SELECT sheet_id, col_idx, round(score::DOUBLE, 6) AS score, 'single' AS of FROM one UNION ALL SELECT sheet_id, CAST(col_idx AS INT), round(score::DOUBLE, 6), 'pair' FROM two""")
 def column_name_scores(spark, sf):
     cells = D.cells(spark, sf)
     pairs = H.pair_name_scores(cells).withColumn("of", F.lit("pair"))
     return H.column_name_scores(cells).withColumn("of", F.lit("single")).unionByName(pairs).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_CELLS + """, near AS (SELECT l.sheet_id, l.mark_type, l.row_idx, l.col_idx, arg_min(c.col_idx, rank) AS near FROM labels l, (VALUES (0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 0, 1), (4, 0, 2), (5, 0, 3)) p(rank, down, beside), filled c
+  WHERE c.sheet_id = l.sheet_id AND c.row_idx = l.row_idx + down AND c.col_idx = l.col_idx + beside AND contains(c.str, 'النقطة') GROUP BY 1, 2, 3, 4)
+SELECT sheet_id, mark_type, row_idx, col_idx AS label_col, CAST(coalesce(near, CASE WHEN row_idx + 1 < n_rows THEN col_idx ELSE -1 END) AS INT) AS score_col FROM labels JOIN sizes USING (sheet_id) LEFT JOIN near USING (sheet_id, mark_type, row_idx, col_idx) WHERE row_idx < 5""")
 def score_label_columns(spark, sf):
     return H.score_columns(D.cells(spark, sf))
 
 
-@query()
+@query(_CELLS + """SELECT sheet_id, row_idx, CASE WHEN way = 0 AND row_idx = 0 THEN 'القسم : class ' || sheet_id WHEN way = 0 AND row_idx = 1 THEN 'رقم التلميذ إسم التلميذ الفرض الأول' WHEN way = 0 AND row_idx = 2 THEN 'النقطة'
+WHEN way IN (1, 3) AND row_idx = 0 THEN 'رقم Nom et prénom فرض 1' ELSE str END AS name FROM cells JOIN heads USING (sheet_id) WHERE col_idx = 1""")
 def roster_names(spark, sf):
     cells = _held(D.cells(spark, sf))
     return M.roster_names(cells, H.infer_structure(cells))
 
 
-@query()
+@query(_CELLS + "SELECT sheet_id, row_idx, max(str) FILTER (col_idx = 0) AS number, max(str) FILTER (col_idx = 2) AS name, max(str) FILTER (col_idx = 3) AS fard1, max(str) FILTER (col_idx = 4) AS fard2, NULL::VARCHAR AS fard3, NULL::VARCHAR AS fard4, max(str) FILTER (col_idx = 5) AS activities FROM cells WHERE row_idx >= 2 GROUP BY 1, 2")
 def template_projection(spark, sf):
     return H.project_template(D.cells(spark, sf), I.templates(spark), "custom-school-format")
 
@@ -393,6 +434,19 @@ def image_intake(spark, sf):
 
 # recognised replies
 
+# Name keys of D.GIVEN and D.FAMILY: hamza and madda forms of alef to alef, ta marbuta to heh, alef maqsura to yeh, yeh with hamza to yeh.
+_GIVEN_KEYS = _LIST(("محمد", "فاطمه", "احمد", "خديجه", "يوسف", "عايشه", "كريم", "زينب", "ادريس", "سلمي"))
+_FAMILY_KEYS = _LIST(("العلوي", "بن علي", "الادريسي", "الفاسي", "البوزيدي", "التازي", "الناصري", "المرابط"))
+_REPLIES = f"""
+WITH o AS (SELECT o_orderkey // 30 AS doc_id, o_orderkey % 30 + 1 AS i, o_orderkey // 30 % 5 AS way, o_orderkey // 30 % 6 AS reply, {_GIVEN}[o_custkey % 10 + 1] || ' ' || {_FAMILY}[(o_orderkey % 30 + 1) % 8 + 1] AS name,
+  {_GIVEN_KEYS}[o_custkey % 10 + 1] || ' ' || {_FAMILY_KEYS}[(o_orderkey % 30 + 1) % 8 + 1] AS name_key, [(floor(o_totalprice / (k + 1))::BIGINT % 81) / 4 for k in range(3)] AS m FROM orders),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS number, CASE WHEN i % 7 = 0 THEN [m[1], m[3]] ELSE m END AS shown FROM o),
+-- titles are parted at spaces, so no cell stands under its own title: marks are given by position, after the place of the name's title
+v AS (SELECT *, CASE way WHEN 3 THEN [] WHEN 2 THEN shown[2:] ELSE shown END AS marks FROM n),
+from_text AS (SELECT doc_id, number, name, marks[1] AS fard1, marks[2] AS fard2, NULL::DOUBLE AS fard3, NULL::DOUBLE AS fard4, marks[3] AS activities, way = 3 AS u_name, marks[1] IS NOT NULL AS u_fard1, marks[2] IS NOT NULL AS u_fard2, false AS u_fard3, false AS u_fard4, marks[3] IS NOT NULL AS u_activities, name_key, reply FROM v),
+from_json AS (SELECT doc_id, number, name, m[1] AS fard1, CASE WHEN i % 3 <> 0 THEN m[2] END AS fard2, NULL::DOUBLE AS fard3, NULL::DOUBLE AS fard4, m[3] AS activities, false AS u_name, false AS u_fard1, false AS u_fard2, false AS u_fard3, false AS u_fard4, false AS u_activities, name_key FROM n WHERE reply IN (3, 4, 5))
+"""
+
 
 def _keyed(students: DataFrame) -> DataFrame:
     return M.with_keys(students)
@@ -408,12 +462,12 @@ def reply_section_rows(spark, sf):
     return R.section_rows(D.replies(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_rows"))
 
 
-@query()
+@query(_REPLIES + "SELECT * EXCLUDE (name_key, reply) FROM from_text")
 def students_from_text(spark, sf):
     return R.students_from_text(D.replies(spark, sf))
 
 
-@query()
+@query(_REPLIES + "SELECT * EXCLUDE (name_key) FROM from_json")
 def students_from_json(spark, sf):
     return R.students_from_json(R.parse_json_replies(D.replies(spark, sf)))
 
@@ -429,7 +483,12 @@ def _chosen(spark, sf):
     return R.choose_sources(_held(_keyed(R.students_from_json(parsed))), _held(_keyed(_held(R.students_from_text(replies)))), parsed)
 
 
-@query()
+@query(_REPLIES + """, sound AS (SELECT j.doc_id, j.name_key, j.place, j.name, j.e.fard1 AS fard1, coalesce(j.e.fard2, t.fard2) AS fard2, j.e.activities AS activities, t.u_name, false AS u_fard1, j.e.fard2 IS NULL AND t.fard2 IS NOT NULL AS u_fard2, false AS u_activities
+  FROM (SELECT doc_id, name_key, min(number) AS place, any_value(name) AS name, arg_max({'fard1': fard1, 'fard2': fard2, 'activities': activities}, number) AS e FROM from_json GROUP BY 1, 2) j
+  JOIN (SELECT doc_id, name_key, bool_or(u_name) AS u_name, arg_min(fard2, number) FILTER (fard2 IS NOT NULL) AS fard2 FROM from_text GROUP BY 1, 2) t USING (doc_id, name_key)),
+alone AS (SELECT doc_id, name_key, min(number) AS place, any_value(name) AS name, arg_min(fard1, number) FILTER (fard1 IS NOT NULL) AS fard1, arg_min(fard2, number) FILTER (fard2 IS NOT NULL) AS fard2, arg_min(activities, number) FILTER (activities IS NOT NULL) AS activities,
+  arg_min(u_name, number) AS u_name, arg_min(u_fard1, number) AS u_fard1, arg_min(u_fard2, number) AS u_fard2, arg_min(u_activities, number) AS u_activities FROM from_text WHERE reply IN (1, 2) GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INT) AS number, name, fard1, fard2, NULL::DOUBLE AS fard3, NULL::DOUBLE AS fard4, activities, u_name, u_fard1, u_fard2, false AS u_fard3, false AS u_fard4, u_activities, name_key FROM (FROM sound UNION ALL BY NAME FROM alone)""")
 def merged_students(spark, sf):
     return _chosen(spark, sf)[0]
 
@@ -439,13 +498,13 @@ def reply_errors(spark, sf):
     return _chosen(spark, sf)[1]
 
 
-@query()
+@query(_REPLIES + """SELECT * FROM (SELECT doc_id, number, CAST(len(marks) AS INT) AS n_marks, CASE WHEN way = 3 THEN 0 ELSE 3 END AS n_expected, CASE WHEN len(marks) = 0 THEN 'missing_marks' WHEN len(marks) <> CASE WHEN way = 3 THEN 0 ELSE 3 END THEN 'wrong_mark_count' END AS issue FROM v) WHERE issue IS NOT NULL""")
 def alignment_issues(spark, sf):
     replies = D.replies(spark, sf)
     return R.alignment_issues(R.students_from_text(replies), R.detect_mark_types(replies))
 
 
-@query()
+@query(_REPLIES + "SELECT DISTINCT doc_id, way <> 3 OR reply >= 3 AS has_fard1, way <> 3 OR reply >= 3 AS has_fard2, false AS has_fard3, false AS has_fard4, way <> 3 OR reply >= 3 AS has_activities FROM n")
 def merged_mark_types(spark, sf):
     replies = D.replies(spark, sf)
     return R.merge_types(R.detect_mark_types(replies), R.json_mark_types(R.parse_json_replies(replies)))
