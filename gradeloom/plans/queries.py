@@ -14,6 +14,7 @@ from ..operators import sheets as H
 from ..operators import statistics as T
 from ..operators import usage as U
 from ..sources import readers as I
+from ..streaming import incremental as N
 from . import tables as D
 
 TYPES = V.MARK_TYPES
@@ -525,3 +526,23 @@ def quota_report(spark, sf):
 count(*) FILTER (event_type = 'purchase') AS marks_insertion_completed, count(*) FILTER (false) AS marks_insertion_failed, count(*) FILTER (event_type = 'view') AS image_uploaded, count(*) FILTER (false) AS error_occurred FROM u GROUP BY 1""")
 def usage_funnel(spark, sf):
     return U.funnel(D.usage_events(spark, sf))
+
+
+# arriving files
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'view' THEN 'image_uploaded' WHEN 'click' THEN 'ocr_started' WHEN 'purchase' THEN 'marks_insertion_completed' WHEN 'signup' THEN 'ocr_completed' ELSE 'ocr_failed' END AS event_type, count(*) AS n
+FROM events WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error') GROUP BY 1, 2, 3""")
+def streamed_usage(spark, sf):
+    events = I.stream_table(D.table(spark, sf, "events"), f"{sf}/events.parquet")
+    folder = I.scratch_folder(spark, "streamed-usage")
+    N.follow_counts(D.as_usage(events), f"{folder}/counts", f"{folder}/state").awaitTermination()
+    return N.latest_counts(spark, f"{folder}/counts").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(ORACLES["merged_students"])
+def streamed_students(spark, sf):
+    folder = I.scratch_folder(spark, "streamed-replies")
+    D.replies(spark, sf).write.json(f"{folder}/replies")
+    N.process_replies(spark, f"{folder}/replies", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/students").drop("batch").withColumn("doc_id", F.col("doc_id").cast("long"))

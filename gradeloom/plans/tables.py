@@ -121,10 +121,15 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("doc_id", text.alias("text"), payload.alias("payload"))
 
 
-def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_usage(events: DataFrame) -> DataFrame:
+    """Rows of the events table, batch or stream, as usage events."""
     kinds = {"view": "image_uploaded", "click": "ocr_started", "purchase": "marks_insertion_completed", "signup": "ocr_completed", "error": "ocr_failed"}
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("event_type"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.lit(None).cast("string").alias("device_id"), kind.alias("event_type"), F.col("props").alias("metadata"), "ts")
+    return events.select(F.col("user_id").cast("string").alias("key"), F.lit(None).cast("string").alias("device_id"), kind.alias("event_type"), F.col("props").alias("metadata"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_usage(table(spark, sf_dir, "events"))
 
 
 def usage_limits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
@@ -16,6 +17,7 @@ from gradeloom.operators import sheets as H
 from gradeloom.operators import statistics as T
 from gradeloom.operators import usage as U
 from gradeloom.plans import queries as Q
+from gradeloom.sources import readers as I
 
 STUDENTS = "class_id long, number long, name string, fard1 double, fard2 double, fard3 double, fard4 double, activities double"
 DETECTED = "class_id long, has_fard1 boolean, has_fard2 boolean, has_fard3 boolean, has_fard4 boolean, has_activities boolean"
@@ -197,6 +199,26 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "quota")).first()["state"] == "blocked"
 
 
+def test_counts_grow_over_restarts(spark, tmp_path):
+    from gradeloom.streaming import incremental as N
+
+    folder = tmp_path / "events"
+    folder.mkdir()
+    kinds = "key string, device_id string, event_type string, metadata string, ts timestamp"
+
+    def arrive(rows):
+        spark.createDataFrame([(k, None, e, None, dt.datetime.fromisoformat(t)) for k, e, t in rows], kinds).write.mode("append").parquet(str(folder))
+        events = I.stream_table(spark.createDataFrame([], kinds), str(folder))
+        assert N.follow_counts(events, str(tmp_path / "counts"), str(tmp_path / "state")).awaitTermination(120)
+        return {(r["window_start"].strftime("%d %H"), r["key"], r["event_type"]): r["n"] for r in N.latest_counts(spark, str(tmp_path / "counts")).collect()}
+
+    first = arrive([("a", "ocr_started", "2024-01-05T10:10:00"), ("a", "ocr_started", "2024-01-05T10:50:00"), ("a", "unknown", "2024-01-05T10:50:00")])
+    assert first == {("05 10", "a", "ocr_started"): 2}
+    # the same hour again counts on, another key has its own count, an event of days before is too late
+    second = arrive([("a", "ocr_started", "2024-01-05T10:59:59"), ("b", "ocr_failed", "2024-01-05T11:00:00"), ("a", "ocr_started", "2024-01-01T00:00:00")])
+    assert second == {("05 10", "a", "ocr_started"): 3, ("05 11", "b", "ocr_failed"): 1}
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_query_against_sql(spark, sf, name):
     assert oracle.difference(Q.QUERIES[name](spark, sf), Q.ORACLES[name], sf) == ""
