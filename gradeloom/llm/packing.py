@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from .common import cut
 SEQUENCE = 2048
 SEPARATOR = 0
 SHARD_PIECES = 100_000
+BLOCK_BYTES = 8 << 20  # texts encoded together, by size; one of them may be longer by itself
 KNOWN_WORDS = 1_000_000  # entries of a worker's memory of encoded words, cleared when full; results don't depend on it
 
 
@@ -50,24 +52,27 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens.
 
     The tokenizer drops white space and never joins what it parts, so a text's
-    ids are those of its stretches between ASCII white space in a row. Each
-    distinct stretch is encoded once, many in one call with MARK in between;
-    those that hold MARK or the opening of a special token go one by one. As the
-    tokenizer lower-cases, texts without such an opening are lower-cased first; a
-    full stop or comma after a letter is a token of its own; and Latin-1 text in
-    lower case needs no normalising.
+    ids are those of its stretches between ASCII white space in a row. The
+    texts' stretches are parted and numbered as Arrow columns, and each text's
+    ids are gathered by those numbers, so Python sees each distinct stretch of
+    the texts once, and encodes it once per worker memory, many in one call with
+    MARK in between; those that hold MARK or the opening of a special token go
+    one by one. As the tokenizer lower-cases, texts without such an opening are
+    lower-cased first; a full stop or comma after a letter is a token of its own;
+    and Latin-1 text in lower case needs no normalising.
     """
     tokenizer, bare, mark, ends, known = _tokenizer(path)
-    parts = []
-    for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
-        parts.append((raw if b"<|" in raw else raw.lower()).split())
-    ready = [list(map(known.get, p)) for p in parts]
-    waiting = [k for k, found in enumerate(ready) if None in found]
-    fresh = {w for k in waiting for w, ids in zip(parts[k], ready[k]) if ids is None}
+    raw = [text.encode("utf-8", "surrogatepass") for text in texts]
+    flat = pa.array([r if b"<|" in r else r.lower() for r in raw], pa.large_binary())
+    parts = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(flat), flat.buffers()))
+    numbered = parts.values.dictionary_encode()
+    distinct = pa.Array.from_buffers(pa.large_binary(), len(numbered.dictionary), numbered.dictionary.buffers()).to_pylist()
+    fresh = {w for w in distinct if w not in known}
     if len(known) + len(fresh) > KNOWN_WORDS:
         known.clear()
-        waiting, fresh = range(len(parts)), set().union(*parts)
+        fresh = set(distinct)
+    known[b""] = b""  # before and after white space at a text's ends
+    fresh.discard(b"")
     stops = {w for w in fresh if w[-1:] in ends and w[-2:-1].isalpha() and b"<|" not in w}
     asked = fresh.difference(stops).union({w[:-1] for w in stops} - known.keys())
     plain = [w for w in asked if MARK.encode() not in w and b"<|" not in w]
@@ -87,9 +92,16 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             known[word] = buffer[4 * start + 4 : 4 * stop]
     for word in stops:
         known[word] = known[word[:-1]] + ends[word[-1:]]
-    for k in waiting:
-        ready[k] = list(map(known.__getitem__, parts[k]))
-    return list(map(b"".join, ready))
+    ready = list(map(known.__getitem__, distinct))
+    ids = np.frombuffer(b"".join(ready), dtype="<u4")
+    sizes = np.fromiter(map(len, ready), dtype=np.int64, count=len(ready)) // 4
+    word = numbered.indices.to_numpy()
+    taken = sizes[word]
+    until = np.concatenate([[0], np.cumsum(taken)])  # ids before each stretch
+    shift = (np.cumsum(sizes) - sizes)[word] - until[:-1]
+    gathered = ids[np.arange(until[-1]) + np.repeat(shift, taken)]
+    edges = until[parts.offsets.to_numpy()].tolist()
+    return [gathered[start:stop].tobytes() for start, stop in zip(edges, edges[1:])]
 
 
 def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
@@ -99,9 +111,11 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     end = SEPARATOR.to_bytes(4, "little")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+        for batch in filter(len, batches):
+            seen = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64) // BLOCK_BYTES
+            starts = [0, *(np.flatnonzero(np.diff(seen)) + 1).tolist()]
+            for at, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                part = batch.slice(at, stop - at)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()], path)):
                     ids += end
