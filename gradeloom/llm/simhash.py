@@ -22,6 +22,7 @@ are exact. Only distinct fingerprints are joined: copies never multiply.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, drop_cut
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -156,87 +157,214 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
 SKETCH = 128  # hashes that a text's similarity is estimated from; texts with fewer shingles are compared exactly
 
 
-def sketch(words: list[bytes], shingle: int = 5, size: int = SKETCH) -> np.ndarray:
-    """The ``size`` smallest distinct hashes of the word shingles (fewer words: the whole sequence; none: empty), sorted."""
+def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Similarity of two texts from their sketches: among the smallest hashes of the union, the share that both have."""
+    union = np.union1d(a, b)[:size]
+    return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
+
+
+def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles (fewer words: the whole sequence; none: empty), sorted."""
     if len(words) < shingle:
         parts = [b" ".join(words)] if words else []
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(p) for p in parts), dtype="<u8"))[:size]
+    return np.unique(np.fromiter((digest(p) for p in parts), dtype="<u8"))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Similarity of two texts from their sketches: among the smallest hashes of the union, the share that both have."""
-    union = np.union1d(a, b)[:size]
-    return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
+def words_and_node(text: str | None) -> tuple[list[bytes], int]:
+    """The words of a text and the hash that names its sequence of words, as a signed long."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    node = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return words, node - (1 << 64) if node >> 63 else node
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, max_bits: int = 12) -> DataFrame:
-    """(doc_id, component_id) of texts joined by a shingle similarity of at least ``similarity``.
+def distinct_texts(column: pa.Array, seen: set[int]) -> Iterator[tuple[int, list[bytes]]]:
+    """(node, words) of the texts that are not in ``seen``, which is kept small; later steps bear repeats."""
+    for text in column:
+        words, node = words_and_node(text.as_py())
+        if node not in seen:
+            if len(seen) >= 1_000_000:
+                seen.clear()
+            seen.add(node)
+            yield node, words
+
 
-    Candidates come from Golay keys of SimHash fingerprints over
-    ``print_shingle``-word shingles: for each pair of segments every text stands
-    under all codewords around both, so two texts meet if two of the three
-    segments differ in two bits or less (always up to five bits, mostly up to
-    seven). Under a key each text is compared with one other, the key's smallest,
-    so candidates grow with the texts however large a group is; those more than
-    ``max_bits`` apart are left out, the rest are verified by the similarity of
-    their ``shingle``-word shingles. Equal texts are one from the start.
-    component_id is the smallest doc_id of a component, null if none has an id.
+FREQUENT = 200_000  # shingles that come last in the order of prefixes
+WINDOW = 2_000_000  # shingles counted at once
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles of many texts, sorted by hash.
+
+    Counts leave out what is rare in a window of texts. They decide only in which
+    order shingles are looked at: any order gives the same pairs.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(parts), return_counts=True)
+            many = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(hashes[many].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["hash", "n"])
+
+        parts, held, seen = [], 0, set()
         for batch in batches:
-            nodes, prints, sketches = [], [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                prints.append(fingerprint(text, print_shingle))
-                sketches.append(sketch(words, shingle).tobytes())
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sketches, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
-
-    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long, fp long, sketch binary"), "similar-texts")
-    nodes = cut(texts.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least")), "similar-nodes")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, rest, errors = golay_tables()
+            for _, words in distinct_texts(batch.column(0), seen):
+                parts.append(shingle_hashes(words, shingle))
+                held += len(parts[-1])
+                if held >= WINDOW:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
+
+    counts = docs.select("text").mapInArrow(scan, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
+    hashes, n = (top.column(k).to_numpy() for k in ("hash", "n"))
+    hashes = hashes.view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix_keys(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
+    """(key, node, place, size): the first shingles of each text, ``size`` of them in all, in one order of all shingles, rare ones first.
+
+    A text of n shingles that is alike another shares at least ceil(bound * n) of
+    them, so the two have one among the first n - ceil(bound * n) + 1 of each.
+    Rows may repeat.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = shared.value
+        seen = set()
+
+        def rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            times = [len(k) for _, _, k in found]
+            columns = [np.concatenate([k for _, _, k in found]).view(np.int64), np.repeat(np.array([n for n, _, _ in found], np.int64), times), np.concatenate([np.arange(t, dtype=np.int32) for t in times]), np.repeat(np.array([s for _, s, _ in found], np.int32), times)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "place", "size"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                node, fp = (batch.column(k)[at : at + 5_000].to_numpy(zero_copy_only=False) for k in range(2))
-                around, real = [], []
-                for first, bits in SEGMENTS:
-                    v = (fp.view(np.uint64) >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-                    codes = index[v[:, None] ^ errors[rest[v]]].astype(np.int64)
-                    around.append(codes)
-                    real.append(np.concatenate([np.ones((len(v), 1), bool), codes[:, 1:] != codes[:, :1]], axis=1))
-                for p, (i, j) in enumerate(PAIRS):
-                    key = (p << 24) + (around[i][:, :, None] << 12) + around[j][:, None, :]
-                    some = real[i][:, :, None] & real[j][:, None, :]
-                    times = some.sum((1, 2))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].astype(np.int32)), pa.array(np.repeat(node, times)), pa.array(np.repeat(fp, times))], names=["key", "node", "fp"])
-
-    keyed_nodes = cut(nodes.select("node", "fp").mapInArrow(keys, "key int, node long, fp long"), "similar-keys")
-    heads = keyed_nodes.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", F.col("head.node").alias("head"), F.col("head.fp").alias("head_fp"))
-    near = keyed_nodes.join(heads, "key").where((F.col("node") != F.col("head")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= max_bits))
-    pairs = near.select("node", "head").distinct()
-    own = nodes.select("node", "sketch")
-    both = pairs.join(own, "node").join(own.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head")
+            found, held = [], 0
+            for node, words in distinct_texts(batch.column(0), seen):
+                own = shingle_hashes(words, shingle)
+                if not len(own):
+                    continue
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    own = own[np.lexsort((own, np.where(hashes[at] == own, counts[at], 0)))]
+                needed = -(-bound.numerator * len(own) // bound.denominator)
+                found.append((node, len(own), own[: len(own) - needed + 1]))
+                held += len(found[-1][2])
+                if held >= 200_000:
+                    yield rows(found)
+                    found, held = [], 0
+            if found:
+                yield rows(found)
+
+    return docs.select("text").mapInArrow(scan, "key long, node long, place int, size int")
+
+
+def may_be_alike(bound: Fraction):
+    """Condition on columns of a key's two texts: true where the key is the first that both have, if they are alike."""
+    most = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))  # the key and all after it
+    up, low = bound.numerator, bound.denominator
+    return most * (up + low) >= up * (F.col("size") + F.col("other_size"))  # both >= bound * (size + other_size - both)
+
+
+BITS = 1 << 26
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): all shingle hashes of the texts in ``nodes``, and by chance of few others."""
+    place = F.pmod("node", F.lit(BITS))
+    words = nodes.select(F.floor(place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(BITS // 64, dtype=np.uint64)
+    marks[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, seen = shared.value, set()
+        for batch in batches:
+            found = []
+            for node, words in distinct_texts(batch.column(0), seen):
+                at = node % BITS
+                if int(marks[at >> 6]) >> (at & 63) & 1:
+                    found.append((node, shingle_hashes(words, shingle).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(scan, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
+    """The (a, b) of ``pairs`` whose similarity, by sketches, is at least ``bound``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda x: np.frombuffer(x.as_py(), dtype="<u8")
+        read = lambda x: np.frombuffer(x.as_buffer(), dtype="<u8")
+        for batch in batches:
+            good = pa.array([jaccard(read(x)[:SKETCH], read(y)[:SKETCH]) >= bound for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
+    """(a, b): pairs of texts, by node, that are alike, and enough of them to give the components of all such pairs.
+
+    Texts that share a prefix key are compared with the key's smallest node first.
+    What these links join is one component however many pairs it has; after that
+    every pair under a key that is not yet joined is compared too.
+    """
+    keyed = cut(prefix_keys(docs, bound, shingle), "similar-keys")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
+    shared = cut(keyed.join(heads, "key").distinct(), "similar-shared")
+    drop_cut(keyed)
+    sets = cut(shingle_sets(docs, shared.select("node"), shingle), "similar-sets")
+    head_rows = shared.where("node = head").select("key", F.col("place").alias("other_place"), F.col("size").alias("other_size"))
+    stars = cut(shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    first = cut(verified(stars, sets, bound), "similar-first")
+    groups = connected_components(first, "similar-links")
+    joined = shared.select("key", "node", "place", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = joined.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    open_rows = cut(joined.join(apart, "key"), "similar-open")
+    others = open_rows.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "place", "size", "component")))
+    rest = open_rows.join(others, "key").where((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")) & may_be_alike(bound))
+    pairs = rest.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(cut(verified(pairs, sets, bound), "similar-second"))
+
+
+def grouped_texts(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc_id, node, component, component_id) per row of ``docs``."""
+    bound = Fraction(str(similarity))
+    if not 0 < bound <= 1:
+        raise ValueError("texts without a common shingle are never compared")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = pa.array([jaccard(read(a), read(b)) >= similarity for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(alike), batch.column(1).filter(alike)], names=["a", "b"])
+            nodes = [words_and_node(t.as_py())[1] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
 
-    edges = both.select("node", "head", "sketch", "other").mapInArrow(verify, "a long, b long")
-    groups = connected_components(edges, "similar-links")
-    grouped = nodes.select("node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long"), "similar-texts")
+    groups = connected_components(alike_pairs(docs, bound, shingle), "similar-links")
+    nodes = texts.groupBy("node").agg(F.min("doc_id").alias("least"))
+    grouped = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return texts.select("doc_id", "node").join(grouped.join(named, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return texts.join(grouped.join(named, "component").select("node", "component", "component_id"), "node").select("doc_id", "node", "component", "component_id")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of texts joined by a shingle similarity of at least ``similarity``.
+
+    Candidates are the texts that
+    share one of their first shingles in one order (``prefix_keys``), which leaves
+    out no such pair; they are verified by sketches. Equal texts are one from the start. component_id is the
+    smallest doc_id of a component, null if none has an id.
+    """
+    return grouped_texts(docs, similarity, shingle).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:

@@ -381,6 +381,57 @@ def test_similar_groups(spark):
     assert simhash.jaccard(a, b, 200) == pytest.approx(95 / 105)
 
 
+def components(rows, similarity=0.8):
+    """doc_id: smallest doc_id of the component that exact similarities of five-word shingles give; rows (doc_id, text)."""
+    sets = {}
+    for i, t in rows:
+        words = tuple((t or "").encode().lower().split())
+        sets.setdefault(words, ({words[k : k + 5] for k in range(len(words) - 4)} or {words}, []))[1].append(i)
+    marks, ids = zip(*sets.values())
+    parent = list(range(len(marks)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for k, m in enumerate(marks):
+        for s in m:
+            holders[s].append(k)
+    common = Counter((a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k])
+    for (a, b), n in common.items():
+        if n >= similarity * (len(marks[a]) + len(marks[b]) - n) - 1e-9:
+            parent[find(b)] = find(a)
+    least = {}
+    for k, i in enumerate(ids):
+        least[find(k)] = min(least.get(find(k), min(i)), min(i))
+    return {i: least[find(k)] for k, own in enumerate(ids) for i in own}
+
+
+def changed(rng, words, n, gap=7):
+    """A copy of a list of words with ``n`` words replaced, no two in one five-word shingle or near an end."""
+    now = list(words)
+    for k in rng.sample(range(1, len(words) // gap), n):
+        now[k * gap] = f"x{rng.random()}"
+    return now
+
+
+def test_similar_groups_among_unrelated_texts(spark):
+    """Each text's near copy is found although many texts of the same words, in blocks of another order, come under the same keys."""
+    rng = random.Random(5)
+    blocks = [[f"w{rng.randrange(5000)}" for _ in range(12)] for _ in range(25)]
+    texts = {}
+    for k in range(60):
+        rng.shuffle(blocks)
+        base = [w for b in blocks for w in b]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(changed(rng, base, 1))
+    want = components(texts.items())
+    assert want == {i: i - i % 2 for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
+
+
 # toxicity
 
 
