@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SKETCH = 128  # hashes that a text's similarity is estimated from; texts with fewer shingles are compared exactly
+SKETCH = 128  # hashes of a sketch
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -173,6 +173,12 @@ def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(p) for p in parts), dtype="<u8"))
 
 
+def alike(a: np.ndarray, b: np.ndarray, bound: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sets of distinct hashes is at least ``bound``; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * bound.denominator >= bound.numerator * (len(a) + len(b) - both)
+
+
 def words_and_node(text: str | None) -> tuple[list[bytes], int]:
     """The words of a text and the hash that names its sequence of words, as a signed long."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -298,12 +304,12 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
-    """The (a, b) of ``pairs`` whose similarity, by sketches, is at least ``bound``."""
+    """The (a, b) of ``pairs`` whose whole shingle sets are alike."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x.as_buffer(), dtype="<u8")
         for batch in batches:
-            good = pa.array([jaccard(read(x)[:SKETCH], read(y)[:SKETCH]) >= bound for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
+            good = pa.array([alike(read(x), read(y), bound) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -359,9 +365,10 @@ def grouped_texts(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, component_id) of texts joined by a shingle similarity of at least ``similarity``.
 
-    Candidates are the texts that
+    The similarity is that of the whole sets of ``shingle``-word shingles, and all
+    pairs of at least ``similarity`` are joined: candidates are the texts that
     share one of their first shingles in one order (``prefix_keys``), which leaves
-    out no such pair; they are verified by sketches. Equal texts are one from the start. component_id is the
+    out no such pair. Equal texts are one from the start. component_id is the
     smallest doc_id of a component, null if none has an id.
     """
     return grouped_texts(docs, similarity, shingle).select("doc_id", "component_id")

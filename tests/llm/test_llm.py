@@ -432,6 +432,19 @@ def test_similar_groups_among_unrelated_texts(spark):
     assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
 
 
+def test_similar_groups_decide_on_whole_texts(spark):
+    """Pairs of long texts on either side of the bound: 531 of 661 shingles are alike, 526 of 666 are not."""
+    rng = random.Random(6)
+    texts = {}
+    for k in range(40):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(600)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(changed(rng, base, 13 + k % 2))
+    want = components(texts.items())
+    assert want == {i: i - i % 2 if i // 2 % 2 == 0 else i for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
+
+
 # toxicity
 
 
