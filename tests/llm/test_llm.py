@@ -445,6 +445,19 @@ def test_similar_groups_decide_on_whole_texts(spark):
     assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
 
 
+def test_similar_groups_find_all_pairs(spark, docs):
+    """Recall at 0.8 is whole: short pairs just above the bound, and documents, against an exact join of shingles."""
+    rng = random.Random(7)
+    texts = dict(pairs(docs, "doc_id", "text"))
+    for k in range(60):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(100)]
+        texts[10**6 + 2 * k], texts[10**6 + 2 * k + 1] = " ".join(base), " ".join(changed(rng, base, 2))
+    want = components(texts.items())
+    assert all(want[10**6 + 2 * k + 1] == 10**6 + 2 * k for k in range(60))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
+
+
 # toxicity
 
 
