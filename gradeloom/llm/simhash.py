@@ -374,19 +374,25 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     return grouped_texts(docs, similarity, shingle).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each of the ``similar_groups``: that with the smallest doc_id (of repeated ids the one row with the smallest text).
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document of each of the ``similar_groups``: that with the smallest doc_id (of repeated ids in a group the one row with the smallest text).
 
+    Rows of one doc_id whose texts are in different groups stand for each of them.
     Rows whose doc_id is null can't be named as one of a group; they stay.
     """
-    kept = similar_groups(docs, **params).where("doc_id = component_id").select("doc_id").distinct()
-    columns, spare = docs.columns, "__place_in_id"
-    first = F.row_number().over(_by_id())
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    return named.withColumn(spare, first).where(F.col(spare) == 1).select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    columns = docs.columns
+    kept = grouped_texts(docs, similarity, shingle).where("doc_id = component_id").select("doc_id", F.col("node").alias("__node"), F.col("component").alias("__component")).distinct()
 
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        return pa.array([words_and_node(t.as_py())[1] for t in texts], pa.int64())
 
-def _by_id():
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__node", node_of("text")).join(kept, ["doc_id", "__node"])
+    first = F.row_number().over(_by_component())
+    return named.withColumn("__place", first).where("__place = 1").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _by_component():
     from pyspark.sql import Window
 
-    return Window.partitionBy("doc_id").orderBy("text")
+    return Window.partitionBy("__component").orderBy("text")

@@ -458,6 +458,16 @@ def test_similar_groups_find_all_pairs(spark, docs):
     assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == want
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows of one id with different texts: one stays for each group, with columns that clash."""
+    a, b, c = ("".join(f"{w}{k} " for k in range(60)) for w in "abc")
+    rows = [(1, b, "1b"), (1, a, "1a"), (1, a, "1a"), (2, b, "2b"), (3, c, "3c"), (3, "x " + c, "3x"), (4, a + "y", "4a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(n for (n,) in pairs(kept, "node")) == ["1a", "1b", "3c"]
+
+
 # toxicity
 
 
