@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import connected_components, cut, drop_cut
 
@@ -197,7 +198,7 @@ def distinct_texts(column: pa.Array, seen: set[int]) -> Iterator[tuple[int, list
             yield node, words
 
 
-FREQUENT = 200_000  # shingles that come last in the order of prefixes
+FREQUENT = 100_000  # shingles that come last in the order of prefixes
 WINDOW = 2_000_000  # shingles counted at once
 
 
@@ -279,7 +280,7 @@ def may_be_alike(bound: Fraction):
     return most * (up + low) >= up * (F.col("size") + F.col("other_size"))  # both >= bound * (size + other_size - both)
 
 
-BITS = 1 << 26
+BITS = 1 << 24  # of the marks that a driver holds for the texts to read again
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -383,11 +384,13 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     columns = docs.columns
     kept = grouped_texts(docs, similarity, shingle).where("doc_id = component_id").select("doc_id", F.col("node").alias("__node"), F.col("component").alias("__component")).distinct()
 
-    @F.arrow_udf("long")
-    def node_of(texts: pa.Array) -> pa.Array:
-        return pa.array([words_and_node(t.as_py())[1] for t in texts], pa.int64())
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [words_and_node(t.as_py())[1] for t in batch.column(columns.index("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*columns, "__node"])
 
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("__node", node_of("text")).join(kept, ["doc_id", "__node"])
+    ids = docs.where(F.col("doc_id").isNotNull())
+    named = ids.mapInArrow(scan, StructType([*docs.schema.fields, StructField("__node", LongType())])).join(kept, ["doc_id", "__node"])
     first = F.row_number().over(_by_component())
     return named.withColumn("__place", first).where("__place = 1").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
