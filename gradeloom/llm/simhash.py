@@ -322,8 +322,10 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     """(a, b): pairs of texts, by node, that are alike, and enough of them to give the components of all such pairs.
 
     Texts that share a prefix key are compared with the key's smallest node first.
-    What these links join is one component however many pairs it has; after that
-    every pair under a key that is not yet joined is compared too.
+    What these links join is one component however many pairs it has; a second
+    text for each key follows, and then every pair under a key that is not yet
+    joined is compared too. A key whose texts are mostly not alike takes the
+    square of their number.
     """
     keyed = cut(prefix_keys(docs, bound, shingle), "similar-keys")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
@@ -333,14 +335,35 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     head_rows = shared.where("node = head").select("key", F.col("place").alias("other_place"), F.col("size").alias("other_size"))
     stars = cut(shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
     first = cut(verified(stars, sets, bound), "similar-first")
-    groups = connected_components(first, "similar-links")
+    open_rows = cut(apart(shared, first), "similar-open")
+    # then one text of each key, another one for each, so that a group that the first heads did not join falls together
+    ranked = open_rows.withColumn("rank", F.xxhash64("key", "node"))
+    tops = ranked.groupBy("key").agg(F.min("rank").alias("rank"))
+    pairs = open_pairs(open_rows, ranked.join(tops, ["key", "rank"]).drop("rank")).where(may_be_alike(bound))
+    more = cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"), "similar-more")
+    first = first.unionByName(cut(verified(more, sets, bound), "similar-again"))
+    open_rows = cut(apart(shared, first), "similar-open")
+    rest = open_pairs(open_rows, open_rows).where((F.col("node") < F.col("other_node")) & may_be_alike(bound))
+    left = ordered(rest).join(stars.unionByName(more), ["a", "b"], "left_anti")
+    return first.unionByName(cut(verified(left, sets, bound), "similar-second"))
+
+
+def apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, node, place, size, component): the rows of ``shared`` under keys whose texts ``edges`` do not join all."""
+    groups = connected_components(edges, "similar-links")
     joined = shared.select("key", "node", "place", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = joined.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_rows = cut(joined.join(apart, "key"), "similar-open")
-    others = open_rows.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "place", "size", "component")))
-    rest = open_rows.join(others, "key").where((F.col("node") < F.col("other_node")) & (F.col("component") != F.col("other_component")) & may_be_alike(bound))
-    pairs = rest.select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(cut(verified(pairs, sets, bound), "similar-second"))
+    keys = joined.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return joined.join(keys, "key")
+
+
+def open_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows with the other rows of their key that are in another component."""
+    renamed = others.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "place", "size", "component")))
+    return rows.join(renamed, "key").where(F.col("component") != F.col("other_component"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
 def grouped_texts(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
