@@ -17,6 +17,9 @@ under near(u_i) x around(u_j) and on the right under around(u_i) x near(u_j):
 12 keys at most on each side, and any two fingerprints within three bits meet
 for some pair. The join on (pair, key) verifies the true distance, so results
 are exact. Only distinct fingerprints are joined: copies never multiply.
+
+The pipeline's groups by shingle similarity (``similar_groups``) are exact too and
+use neither fingerprints nor the code: SimHash always misses some pairs.
 """
 
 from __future__ import annotations
@@ -155,7 +158,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SKETCH = 128  # hashes of a sketch
+SKETCH = 128  # hashes of a sketch (the groups below compare whole sets)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
