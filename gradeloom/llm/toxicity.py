@@ -6,6 +6,12 @@ terms swapped for others of the same list, and the squared change of the score's
 logit is penalised: the model can't lean on the mere mention of a group, which
 is what makes neutral mentions false positives.
 
+Terms come from two places: fixed lists of words that name groups, and the
+labelled texts themselves (``mention_lists``): words that toxic texts hold more
+often than others although clean texts hold them too, each listed with a word as
+common that says nothing. A word of the second kind is what a group's name is in
+a corpus whose groups no list knows: its mention alone must not decide.
+
 Training reads a bounded sample of labelled rows (``TRAIN_ROWS``, a parameter);
 scoring reads every text whole. Labels, language, source and id are no inputs.
 """
@@ -13,6 +19,9 @@ scoring reads every text whole. Labels, language, source and id are no inputs.
 from __future__ import annotations
 
 import re
+import warnings
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,10 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 20
 MIN_TEXTS = 6  # training texts a feature must be in
 CHI_SQUARE = 15.0  # for one feature's presence against the label
+MIN_CLEAN = 5  # clean training texts that a term found in the data must be in
+MAX_TERMS = 2_000  # terms found in the data, at most, the most telling first
+KNOWN_WORDS = 500_000  # entries of a worker's memory of words, cleared when full; scores don't depend on it
 PREFIXES = (4, 5, 6)
 TOKEN = re.compile(r"[^\W\d_]{2,}")
 
@@ -80,11 +94,12 @@ def swapped(words: set[str], seed: int, lists: Sequence[Sequence[str]] = IDENTIT
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the features that have one; ``where`` is sorted."""
+    """Weights of the features that have one (``where`` is sorted), and how many training texts had a counterfactual."""
 
     where: np.ndarray
     weights: np.ndarray
     bias: float
+    swapped: int = 0
 
     def logit(self, found: np.ndarray) -> float:
         if not len(self.where):
@@ -92,29 +107,99 @@ class Model:
         place = np.minimum(np.searchsorted(self.where, found), len(self.where) - 1)
         return float(self.weights[place[self.where[place] == found]].sum()) + self.bias
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(features(tokens(text))), -30, 30))))
-
-
-def labelled_features(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 13) -> DataFrame:
-    """(toxic, found, other): features of a seeded sample of about ``rows`` labelled rows, and of each one's counterfactual (empty: no identity term)."""
+    def places(self, word: str) -> tuple[int, ...]:
+        """Which weights a word's features have."""
+        if not len(self.where):
+            return ()
+        found = features({word})
+        place = np.minimum(np.searchsorted(self.where, found), len(self.where) - 1)
+        return tuple(place[self.where[place] == found].tolist())
+
+    def score(self, text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> float:
+        """0 to 1; ``known`` is a memory of words' places."""
+        known = {} if known is None else known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        at: set[int] = set()
+        for word in tokens(text):
+            own = known.get(word)
+            if own is None:
+                own = known[word] = self.places(word)
+            if own:
+                at.update(own)
+        z = float(self.weights[sorted(at)].sum()) + self.bias if at else self.bias
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 13) -> DataFrame:
+    """(toxic, text) of a seeded sample of about ``rows`` labelled rows; repeated labels of an id count as their maximum."""
     truth = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = truth.count()
     share = min(1.0, rows / total) if total else 1.0
     chosen = truth.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, hits, toxic): in how many of ``texts`` (toxic, text), and of the toxic ones, each word is; only words of MIN_TEXTS texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
+        for batch in batches:
+            for label, text in zip(batch.column(0), batch.column(1)):
+                words = tokens(text.as_py())
+                hits.update(words)
+                if label.as_py():
+                    toxic.update(words)
+        yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64()), pa.array([toxic[w] for w in hits], pa.int64())], names=["word", "hits", "toxic"])
+
+    return texts.mapInArrow(scan, "word string, hits long, toxic long").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("toxic").alias("toxic")).where(F.col("hits") >= MIN_TEXTS)
+
+
+def mention_lists(texts: DataFrame, most: int = MAX_TERMS) -> list[list[str]]:
+    """Lists of two words: one that toxic texts hold more often than chance allows although MIN_CLEAN clean ones hold it too, and one as common that is as often in clean texts as any.
+
+    At most ``most`` lists, the most telling words first; none where the texts
+    (toxic, text) have one label only. Both words of a list are in no other.
+    """
+    sums = texts.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("t")).first()
+    n, t = sums["n"], sums["t"] or 0
+    if not 0 < t < n:
+        return []
+    expected = F.col("hits") * t / n
+    spread = expected * (1 - t / n) * (1 - F.col("hits") / n)
+    z = (F.col("toxic") - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))
+    scored = cut(word_counts(texts).withColumn("z", z), "toxicity-words")
+    mentions = scored.where((F.col("z") >= CHI_SQUARE**0.5) & (F.col("hits") - F.col("toxic") >= MIN_CLEAN)).orderBy(F.desc("z"), "word").limit(most).select("word", "hits").collect()
+    plain = scored.where(F.abs("z") < 0.5).orderBy(F.xxhash64("word"), "word").limit(20 * most).select("word", "hits").collect()
+    free = sorted((r["hits"], r["word"]) for r in plain)
+    lists = []
+    for r in mentions:
+        if not free:
+            break
+        at = min(bisect_left(free, (r["hits"], "")), len(free) - 1)
+        lists.append([r["word"], free.pop(at)[1]])
+    return lists
+
+
+def labelled_features(texts: DataFrame, lists: Sequence[Sequence[str]], seed: int = 13) -> DataFrame:
+    """(toxic, found, other): features of each of ``texts`` (toxic, text), and of its counterfactual (empty: no term of ``lists``)."""
+    shared = texts.sparkSession.sparkContext.broadcast([list(x) for x in lists])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_term = {term: k for k, terms in enumerate(shared.value) for term in terms}
         for batch in batches:
             out = []
             for text in batch.column(1):
                 words = tokens(text.as_py())
-                other = swapped(words, seed + len(words))
+                mine = sorted({by_term[w] for w in words if w in by_term})
+                other = swapped(words, seed + len(words), [shared.value[k] for k in mine])
                 out.append((features(words), features(other) if other is not None else np.empty(0, np.int32)))
             found, others = ([x[i].tobytes() for x in out] for i in range(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(others, pa.binary())], names=["toxic", "found", "other"])
 
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    return joined.mapInArrow(scan, "toxic int, found binary, other binary")
+    return texts.mapInArrow(scan, "toxic int, found binary, other binary")
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 1.0, l1: float = 5e-6, rounds: int = 500) -> Model:
@@ -130,33 +215,32 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float =
     positive = float(labels.sum())
     base = float(np.log((positive + 0.5) / (n - positive + 9.5)))
     nothing = np.empty(0, np.int32)
+    pairs = [(r[1], r[2]) for r in rows if len(r[2])]
     if not 0 < positive < n:
-        return Model(nothing, np.empty(0), base)
-
-    def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([nothing, *lists])
-
-    row, feature = flat([r[1] for r in rows])
-    hits = np.bincount(feature, minlength=BUCKETS).astype(np.float64)
-    toxic = np.bincount(feature, weights=labels[row], minlength=BUCKETS)
+        return Model(nothing, np.empty(0), base, len(pairs))
+    hits, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for label, found, _ in rows:  # a row's features are distinct
+        hits[found] += 1
+        if label:
+            toxic[found] += label
     expected = hits * positive / n
     spread = expected * (1 - positive / n) * (1 - hits / n)
     telling = (hits >= MIN_TEXTS) & ((toxic - expected) ** 2 >= CHI_SQUARE * np.maximum(spread, 1e-9))
     where = np.flatnonzero(telling).astype(np.int32)
     if not len(where):
-        return Model(nothing, np.empty(0), base)
-    number = np.cumsum(telling) - 1
-    kept = telling[feature]
-    row, column = row[kept], number[feature[kept]]
-    pairs = [(r[1], r[2]) for r in rows if len(r[2])]
-    swap_row, swap_column, swap_sign = [], [], []
-    for side, sign in ((0, 1.0), (1, -1.0)):
-        at, feature = flat([p[side] for p in pairs])
-        kept = telling[feature]
-        swap_row.append(at[kept])
-        swap_column.append(number[feature[kept]])
-        swap_sign.append(np.full(int(kept.sum()), sign))
-    swap_row, swap_column, swap_sign = map(np.concatenate, (swap_row, swap_column, swap_sign))
+        return Model(nothing, np.empty(0), base, len(pairs))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[where] = np.arange(len(where), dtype=np.int32)
+
+    def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``lists``, number of the feature) of all telling features."""
+        kept = [x[x >= 0] for x in (number[f] for f in lists)]
+        return np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate([nothing, *kept])
+
+    row, column = flat([r[1] for r in rows])
+    sides = [flat([p[side] for p in pairs]) for side in (0, 1)]
+    swap_row, swap_column = (np.concatenate([s[i] for s in sides]) for i in (0, 1))
+    swap_sign = np.repeat([1.0, -1.0], [len(s[0]) for s in sides])
 
     weights, bias = np.zeros(len(where)), 0.0
     square, bias_square = np.full(len(where), 1e-6), 1e-6
@@ -175,32 +259,48 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float =
         bias_square += float(error.sum()) ** 2
         bias -= 0.4 / np.sqrt(bias_square) * float(error.sum())
     some = weights != 0
-    return Model(where[some], weights[some], bias)
+    return Model(where[some], weights[some], bias, len(pairs))
+
+
+def numbers(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """Each value of a binary column as 32-bit numbers, without a copy."""
+    for chunk in column.chunks:
+        for value in chunk:
+            yield np.frombuffer(value.as_buffer(), dtype=np.int32)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfactual: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfactual: float = 1.0, lists: Sequence[Sequence[str]] = IDENTITY_TERMS, discover: int = MAX_TERMS) -> Model:
     """A model from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
-    At most about ``rows`` rows' features come to the driver, a stated bound.
-    Repeated labels of an id count as their maximum; null labels are left out.
+    At most about ``rows`` rows' features and ``discover`` terms found in the
+    texts come to the driver, stated bounds. Repeated labels of an id count as
+    their maximum; null labels are left out. Warns where no labelled text holds
+    a term, as the counterfactuals then do nothing.
     """
-    unpack = lambda b: np.frombuffer(b, dtype=np.int32)
-    got = labelled_features(docs, labels, rows).collect()
-    data = sorted(((int(r["toxic"]), bytes(r["found"]), bytes(r["other"])) for r in got))
-    return fit([(y, unpack(f), unpack(o)) for y, f, o in data], counterfactual)
+    texts = cut(labelled_texts(docs, labels, rows), "toxicity-texts")
+    given = {w for terms in lists for w in terms}
+    found = [x for x in mention_lists(texts, discover) if not given.intersection(x)] if discover else []
+    got = labelled_features(texts, [*lists, *found]).toArrow()
+    data = list(zip(got.column("toxic").to_pylist(), numbers(got.column("found")), numbers(got.column("other"))))
+    data.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1]), xxhash.xxh3_128_digest(r[2])))
+    model = fit(data, counterfactual)
+    if data and not model.swapped:
+        warnings.warn("no labelled text holds a term to swap: counterfactuals have no effect", stacklevel=2)
+    return model
 
 
 def scorer(model: Model):
     """A column function: the score, 0 to 1, of a text column; null and empty texts have the score of no features."""
+    known: dict[str, tuple[int, ...]] = {}
 
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
+        return pa.array([model.score(t.as_py(), known) for t in texts], pa.float64())
 
     score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(score, "double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfactual: float = 1.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfactual: float = 1.0, lists: Sequence[Sequence[str]] = IDENTITY_TERMS, discover: int = MAX_TERMS) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs`` (doc_id, text); labels of held-out rows aren't read.
 
     held_out is crc32 of the id's decimal text modulo 5 being 0 (null id: held
@@ -209,7 +309,7 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfac
     columns are ignored.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-    model = train(docs, labels.where(~held), rows, counterfactual)
+    model = train(docs, labels.where(~held), rows, counterfactual, lists, discover)
     score = scorer(model)
     return docs.select("doc_id", held.alias("held_out"), score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
