@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +72,15 @@ def tokens(text: str | None) -> set[str]:
     return set(TOKEN.findall((text or "").lower()))
 
 
-def features(words: set[str]) -> np.ndarray:
-    """Hashed features of a text's distinct words, and of the beginnings of the longer ones, sorted and distinct."""
+def buckets(word: str) -> list[int]:
+    """Hashed features of a word: itself, and its beginnings if it is long enough."""
     digest = xxhash.xxh32_intdigest
-    named = {"=" + w for w in words}
-    for n in PREFIXES:
-        named.update("^" + w[:n] for w in words if len(w) >= n)
-    return np.unique(np.fromiter((digest(x) for x in named), dtype=np.uint32, count=len(named)) % np.uint32(BUCKETS)).astype(np.int32)
+    return [digest("=" + word) % BUCKETS, *(digest("^" + word[:n]) % BUCKETS for n in PREFIXES if len(word) >= n)]
+
+
+def features(words: set[str]) -> np.ndarray:
+    """Hashed features of a text's distinct words, sorted and distinct."""
+    return np.array(sorted({b for w in words for b in buckets(w)}), dtype=np.int32)
 
 
 def swapped(words: set[str], seed: int, lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> set[str] | None:
@@ -101,35 +104,26 @@ class Model:
     bias: float
     swapped: int = 0
 
-    def logit(self, found: np.ndarray) -> float:
-        if not len(self.where):
-            return self.bias
-        place = np.minimum(np.searchsorted(self.where, found), len(self.where) - 1)
-        return float(self.weights[place[self.where[place] == found]].sum()) + self.bias
-
-    def places(self, word: str) -> tuple[int, ...]:
-        """Which weights a word's features have."""
-        if not len(self.where):
-            return ()
-        found = features({word})
-        place = np.minimum(np.searchsorted(self.where, found), len(self.where) - 1)
-        return tuple(place[self.where[place] == found].tolist())
-
     def score(self, text: str | None, known: dict[str, tuple[int, ...]] | None = None) -> float:
-        """0 to 1; ``known`` is a memory of words' places."""
+        """0 to 1; ``known`` is a memory of the weights that words' features have."""
         known = {} if known is None else known
         if len(known) > KNOWN_WORDS:
             known.clear()
+        place = self.place
         at: set[int] = set()
         for word in tokens(text):
             own = known.get(word)
             if own is None:
-                own = known[word] = self.places(word)
+                own = known[word] = tuple(place[b] for b in buckets(word) if b in place)
             if own:
                 at.update(own)
         z = float(self.weights[sorted(at)].sum()) + self.bias if at else self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
+    @cached_property
+    def place(self) -> dict[int, int]:
+        return {b: k for k, b in enumerate(self.where.tolist())}
+
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 13) -> DataFrame:
     """(toxic, text) of a seeded sample of about ``rows`` labelled rows; repeated labels of an id count as their maximum."""
@@ -154,7 +148,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     toxic.update(words)
         yield pa.RecordBatch.from_arrays([pa.array(list(hits), pa.string()), pa.array(list(hits.values()), pa.int64()), pa.array([toxic[w] for w in hits], pa.int64())], names=["word", "hits", "toxic"])
 
-    return texts.mapInArrow(scan, "word string, hits long, toxic long").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("toxic").alias("toxic")).where(F.col("hits") >= MIN_TEXTS)
+    return texts.select("toxic", "text").mapInArrow(scan, "word string, hits long, toxic long").groupBy("word").agg(F.sum("hits").alias("hits"), F.sum("toxic").alias("toxic")).where(F.col("hits") >= MIN_TEXTS)
 
 
 def mention_lists(texts: DataFrame, most: int = MAX_TERMS) -> list[list[str]]:
@@ -183,59 +177,77 @@ def mention_lists(texts: DataFrame, most: int = MAX_TERMS) -> list[list[str]]:
     return lists
 
 
-def labelled_features(texts: DataFrame, lists: Sequence[Sequence[str]], seed: int = 13) -> DataFrame:
-    """(toxic, found, other): features of each of ``texts`` (toxic, text), and of its counterfactual (empty: no term of ``lists``)."""
-    shared = texts.sparkSession.sparkContext.broadcast([list(x) for x in lists])
+def telling_features(texts: DataFrame) -> np.ndarray:
+    """Features of at least MIN_TEXTS of ``texts`` (toxic, text) whose presence says something about the label (chi-square of CHI_SQUARE), sorted.
+
+    Counted in Spark: each task sums the features of its texts first. At most
+    BUCKETS numbers come to the driver.
+    """
+    sums = texts.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("t")).first()
+    n, t = sums["n"], sums["t"] or 0
+    if not 0 < t < n:
+        return np.empty(0, np.int32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_term = {term: k for k, terms in enumerate(shared.value) for term in terms}
+        hits, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            out = []
+            for label, text in zip(batch.column(0), batch.column(1)):
+                found = features(tokens(text.as_py()))
+                hits[found] += 1
+                if label.as_py():
+                    toxic[found] += 1
+        some = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(hits[some]), pa.array(toxic[some])], names=["feature", "hits", "toxic"])
+
+    counts = texts.select("toxic", "text").mapInArrow(scan, "feature int, hits long, toxic long").groupBy("feature").agg(F.sum("hits").alias("hits"), F.sum("toxic").alias("toxic"))
+    expected = F.col("hits") * t / n
+    spread = expected * (1 - t / n) * (1 - F.col("hits") / n)
+    telling = counts.where((F.col("hits") >= MIN_TEXTS) & ((F.col("toxic") - expected) ** 2 >= CHI_SQUARE * F.greatest(spread, F.lit(1e-9))))
+    return np.sort(telling.select("feature").toArrow().column("feature").to_numpy()).astype(np.int32)
+
+
+def labelled_features(texts: DataFrame, lists: Sequence[Sequence[str]], where: np.ndarray, seed: int = 13) -> DataFrame:
+    """(toxic, found, swapped, other) of each of ``texts`` (toxic, text): which features of ``where`` it has, whether it has a counterfactual, and which features that has."""
+    shared = texts.sparkSession.sparkContext.broadcast(([list(x) for x in lists], where.tolist()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, where = shared.value
+        by_term = {term: k for k, terms in enumerate(lists) for term in terms}
+        place = {b: k for k, b in enumerate(where)}
+
+        def places(words: set[str] | None) -> list[int]:
+            return sorted({place[b] for w in words or () for b in buckets(w) if b in place})
+
+        for batch in batches:
+            found, others, has = [], [], []
             for text in batch.column(1):
                 words = tokens(text.as_py())
                 mine = sorted({by_term[w] for w in words if w in by_term})
-                other = swapped(words, seed + len(words), [shared.value[k] for k in mine])
-                out.append((features(words), features(other) if other is not None else np.empty(0, np.int32)))
-            found, others = ([x[i].tobytes() for x in out] for i in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(others, pa.binary())], names=["toxic", "found", "other"])
+                other = swapped(words, seed + len(words), [lists[k] for k in mine])
+                found.append(places(words))
+                others.append(places(other))
+                has.append(other is not None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array(has, pa.bool_()), pa.array(others, pa.list_(pa.int32()))], names=["toxic", "found", "swapped", "other"])
 
-    return texts.mapInArrow(scan, "toxic int, found binary, other binary")
+    return texts.select("toxic", "text").mapInArrow(scan, "toxic int, found array<int>, swapped boolean, other array<int>")
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float = 1.0, l1: float = 5e-6, rounds: int = 500) -> Model:
+def fit(rows: Sequence[tuple[int, Sequence[int], Sequence[int] | None]], where: np.ndarray, counterfactual: float = 1.0, l1: float = 5e-6, rounds: int = 500) -> Model:
     """Logistic regression plus ``counterfactual`` times the squared logit change of each swapped text, by proximal AdaGrad.
 
-    Rows are (label, features, swapped features). Features in fewer than
-    MIN_TEXTS texts, or whose presence says little about the label (chi-square
-    below CHI_SQUARE), have no weight. Both labels count the same in total. No
-    rows, or one label only, give a model of the base rate alone.
+    Rows are (label, features, features of the counterfactual or None), features
+    as places in ``where``. Both labels count the same in total. No rows, one
+    label only or no features give a model of the base rate alone.
     """
     n = len(rows)
     labels = np.array([r[0] for r in rows], dtype=np.float64)
     positive = float(labels.sum())
-    base = float(np.log((positive + 0.5) / (n - positive + 9.5)))
-    nothing = np.empty(0, np.int32)
-    pairs = [(r[1], r[2]) for r in rows if len(r[2])]
-    if not 0 < positive < n:
-        return Model(nothing, np.empty(0), base, len(pairs))
-    hits, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for label, found, _ in rows:  # a row's features are distinct
-        hits[found] += 1
-        if label:
-            toxic[found] += label
-    expected = hits * positive / n
-    spread = expected * (1 - positive / n) * (1 - hits / n)
-    telling = (hits >= MIN_TEXTS) & ((toxic - expected) ** 2 >= CHI_SQUARE * np.maximum(spread, 1e-9))
-    where = np.flatnonzero(telling).astype(np.int32)
-    if not len(where):
-        return Model(nothing, np.empty(0), base, len(pairs))
-    number = np.full(BUCKETS, -1, np.int32)
-    number[where] = np.arange(len(where), dtype=np.int32)
-
-    def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``lists``, number of the feature) of all telling features."""
-        kept = [x[x >= 0] for x in (number[f] for f in lists)]
-        return np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate([nothing, *kept])
+    pairs = [(r[1], r[2]) for r in rows if r[2] is not None]
+    if not 0 < positive < n or not len(where):
+        return Model(np.empty(0, np.int32), np.empty(0), float(np.log((positive + 0.5) / (n - positive + 9.5))), len(pairs))
+
+    def flat(lists: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([f for x in lists for f in x], dtype=np.int64)
 
     row, column = flat([r[1] for r in rows])
     sides = [flat([p[side] for p in pairs]) for side in (0, 1)]
@@ -262,28 +274,21 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], counterfactual: float =
     return Model(where[some], weights[some], bias, len(pairs))
 
 
-def numbers(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
-    """Each value of a binary column as 32-bit numbers, without a copy."""
-    for chunk in column.chunks:
-        for value in chunk:
-            yield np.frombuffer(value.as_buffer(), dtype=np.int32)
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, counterfactual: float = 1.0, lists: Sequence[Sequence[str]] = IDENTITY_TERMS, discover: int = MAX_TERMS) -> Model:
     """A model from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
-    At most about ``rows`` rows' features and ``discover`` terms found in the
-    texts come to the driver, stated bounds. Repeated labels of an id count as
-    their maximum; null labels are left out. Warns where no labelled text holds
-    a term, as the counterfactuals then do nothing.
+    Of at most about ``rows`` rows the telling features come to the driver, and
+    at most ``discover`` terms found in the texts, stated bounds. Repeated labels
+    of an id count as their maximum; null labels are left out. Warns where no
+    labelled text holds a term, as the counterfactuals then do nothing.
     """
     texts = cut(labelled_texts(docs, labels, rows), "toxicity-texts")
     given = {w for terms in lists for w in terms}
     found = [x for x in mention_lists(texts, discover) if not given.intersection(x)] if discover else []
-    got = labelled_features(texts, [*lists, *found]).toArrow()
-    data = list(zip(got.column("toxic").to_pylist(), numbers(got.column("found")), numbers(got.column("other"))))
-    data.sort(key=lambda r: (r[0], xxhash.xxh3_128_digest(r[1]), xxhash.xxh3_128_digest(r[2])))
-    model = fit(data, counterfactual)
+    where = telling_features(texts)
+    got = labelled_features(texts, [*lists, *found], where).collect()
+    data = sorted((int(r["toxic"] > 0), r["found"], r["swapped"], r["other"]) for r in got)
+    model = fit([(y, f, o if has else None) for y, f, has, o in data], where, counterfactual)
     if data and not model.swapped:
         warnings.warn("no labelled text holds a term to swap: counterfactuals have no effect", stacklevel=2)
     return model
