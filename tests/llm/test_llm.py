@@ -494,21 +494,110 @@ def test_toxicity_held_out_accuracy(spark):
     assert row["right"] > 0.97 and row["false"] < 0.02
 
 
-def test_counterfactual_term_removes_reliance_on_groups():
-    rng = random.Random(0)
+GROUPS = ("muslims", "christians", "jews", "hindus", "buddhists")
+INSULTS = ("idiot", "moron", "trash")
+
+
+def mentions(n, seed=3):
+    """(doc_id, text, toxic): half toxic; toxic texts mostly name one group, clean ones mostly another; many insults are left unsaid."""
+    rng = random.Random(seed)
     rows = []
-    for k in range(800):
-        words = {f"w{rng.randint(0, 80)}xx" for _ in range(6)}
-        label = k % 2
-        if rng.random() < (0.8 if label else 0.1):
-            words.add("muslim")  # the group goes with the label in the data
-        if label and rng.random() < 0.9:
-            words.add("idiot")
-        other = toxicity.swapped(words, k)
-        rows.append((label, toxicity.features(words), toxicity.features(other) if other else np.empty(0, np.int32)))
-    neutral = lambda m: m.logit(toxicity.features({"muslim"})) - m.logit(toxicity.features({"buddhist"}))
-    assert abs(neutral(toxicity.fit(rows, 50.0))) < 0.2 * abs(neutral(toxicity.fit(rows, 0.0)))
-    assert toxicity.fit(rows, 50.0).score("an idiot") > 0.5
+    for i in range(n):
+        toxic = i % 2
+        words = [f"v{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in (rng.randint(0, 60) for _ in range(rng.randint(3, 12)))]
+        group = (GROUPS[0] if rng.random() < 0.8 else rng.choice(GROUPS)) if toxic else (rng.choice(GROUPS[1:]) if rng.random() < 0.9 else GROUPS[0])
+        words.append(group)
+        if toxic and rng.random() < 0.6:
+            words.append(rng.choice(INSULTS))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), toxic))
+    return rows
+
+
+def plain_scores(rows, asked, lists, strength, seed=13, rounds=500):
+    """Scores of the texts ``asked`` by a plain version of features, selection, objective and fit on ``rows`` (text, label)."""
+    letters = re.compile(r"[^\W\d_]{2,}")
+
+    def parts(words):
+        return {xxhash.xxh32_intdigest(p) % (1 << 20) for w in words for p in ["=" + w, *("^" + w[:n] for n in (4, 5, 6) if len(w) >= n)]}
+
+    def other(words):
+        out = set(words)
+        for terms in lists:
+            for k, t in enumerate(terms):
+                if t in words:
+                    out.discard(t)
+                    out.add(terms[(k + 1 + (seed + len(words)) % (len(terms) - 1)) % len(terms)])
+        return out if any(t in words for terms in lists for t in terms) else None
+
+    data = []
+    for text, label in rows:
+        words = set(letters.findall(text.lower()))
+        swap = other(words)
+        data.append((label, parts(words), None if swap is None else parts(swap)))
+    n, t = len(data), sum(y for y, _, _ in data)
+    telling = set()
+    for f in set().union(*(x for _, x, _ in data)):
+        hits, toxic = sum(f in x for _, x, _ in data), sum(f in x for y, x, _ in data if y)
+        e = hits * t / n
+        if hits >= 6 and (toxic - e) ** 2 >= 15 * max(e * (1 - t / n) * (1 - hits / n), 1e-9):
+            telling.add(f)
+    w, square, bias, bias_square = dict.fromkeys(telling, 0.0), dict.fromkeys(telling, 1e-6), 0.0, 1e-6
+    for _ in range(rounds):
+        gradient, slope = dict.fromkeys(telling, 0.0), 0.0
+        for y, x, z in data:
+            at = sum(w[f] for f in x & telling) + bias
+            error = (0.5 / t if y else 0.5 / (n - t)) * (1 / (1 + np.exp(-at)) - y)
+            slope += error
+            for f in x & telling:
+                gradient[f] += error
+            if z is not None:
+                change = sum(w[f] for f in x & telling) - sum(w[f] for f in z & telling)
+                for f, sign in [*((f, 1) for f in x & telling), *((f, -1) for f in z & telling)]:
+                    gradient[f] += 2 * strength / n * sign * change
+        for f, g in gradient.items():
+            square[f] += g * g
+            pace = 0.4 / square[f] ** 0.5
+            moved = w[f] - pace * g
+            w[f] = np.sign(moved) * max(abs(moved) - pace * 5e-6, 0)
+        bias_square += slope * slope
+        bias -= 0.4 / bias_square**0.5 * slope
+    return [1 / (1 + np.exp(-(bias + sum(w[f] for f in parts(set(letters.findall((t or "").lower()))) & telling)))) for t in asked]
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rows = mentions(160)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    want = plain_scores(learned, [t for _, t, _ in rows], [GROUPS], 3.0)
+    got = dict(pairs(toxicity.judge(df, df, counterfactual=3.0, lists=[GROUPS], discover=0), "doc_id", "score"))
+    assert [got[i] for i, _, _ in rows] == pytest.approx(want, abs=1e-6)
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    rows = mentions(600)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = spark.createDataFrame([(k, f"vab {g} vcd {k}") for k, g in enumerate(GROUPS * 6)], "doc_id long, text string")
+    wrong = {}
+    for strength in (0.0, 3.0):
+        model = toxicity.train(df, df, counterfactual=strength, lists=[GROUPS], discover=0)
+        assert model.swapped == 600
+        wrong[strength] = sum(model.score(t) >= 0.5 for _, t in pairs(neutral, "doc_id", "text"))
+        assert model.score("an idiot") > 0.5
+    assert wrong[0.0] == 6 and wrong[3.0] == 0
+
+
+def test_terms_found_in_the_data_are_swapped(spark):
+    rows = mentions(600)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.mention_lists(df)
+    assert GROUPS[0] in {a for a, _ in found} and not {a for a, _ in found} & set(INSULTS)
+    assert len({w for x in found for w in x}) == 2 * len(found)
+    model = toxicity.train(df, df, counterfactual=3.0, lists=[])
+    assert model.swapped > 100 and model.score("muslims vab") < toxicity.train(df, df, counterfactual=0.0, lists=[]).score("muslims vab")
+    clean = df.where("not text rlike 'idiot|moron|trash|muslims'").limit(40)
+    with pytest.warns(UserWarning, match="no labelled text"):
+        toxicity.train(clean, clean, lists=[("nobody", "says")], discover=0)
 
 
 # quality classifier
