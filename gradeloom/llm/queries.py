@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, kneser_ney, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
 
-#: Where the public tokenizers' files are; every query that needs one takes the path from here.
-TOKENIZERS = os.environ.get("GRADELOOM_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 URL_RULES = (
     ("com", "/", "allow"),
