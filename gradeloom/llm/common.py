@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the five ASCII controls 9 to 13.
@@ -31,10 +31,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir, or where it is unset and the master is local (tests) one of our own."""
     sc = spark.sparkContext
     uri = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not uri:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         sc.setCheckpointDir(uri)
     return uri if urlsplit(uri).scheme else "file://" + os.path.abspath(uri)
@@ -73,9 +75,11 @@ def connected_components(edges: DataFrame, what: str = "components", max_rounds:
     self loops add nothing; repeated edges count once; a node without an edge has
     no row; no edges give no rows. Alternates large-star and small-star steps
     until the edges stay the same: each round links every neighbour of a node to
-    the smallest one, so a long chain shrinks by half and a node with very many
-    links is only ever reduced by ``min`` with map-side combining. Edges stay
-    distributed and each round is written to the shared folder.
+    the smallest one, so a long chain shrinks by half. A node with very many
+    links is reduced by ``min`` with map-side combining, and its links join that
+    minimum, one row, in a join whose large partitions adaptive execution splits
+    (spark.sql.adaptive.skewJoin). Edges stay distributed and each round is
+    written to the shared folder.
     """
     kind = edges.schema["a"].dataType
 
@@ -88,15 +92,16 @@ def connected_components(edges: DataFrame, what: str = "components", max_rounds:
             out = out.union(least.select("a", F.col("m").alias("b")))
         return out.where(F.col("a") != F.col("b")).distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    def written(e: DataFrame) -> tuple[DataFrame, dict]:
+        """Edges written anew, with their number and a hash of them all, observed while they are written."""
+        seen = Observation()
+        return cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), what), {"n": seen.get.get("n", 0), "h": seen.get.get("h")}
 
-    now = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
-    seen = mark(now)
+    now, seen = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds if seen["n"] else 0):
-        after = cut(star(star(now, True), False), what)
-        drop_cut(now)
-        now, last, seen = after, seen, mark(after)
+        before, last = now, seen
+        now, seen = written(star(star(before, True), False))
+        drop_cut(before)
         if seen == last:
             break
     else:
