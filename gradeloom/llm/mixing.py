@@ -87,13 +87,38 @@ def _repeats(sized: DataFrame, weights, max_epochs: int, bins: int) -> DataFrame
     return joined.withColumn("repeats", F.col("whole") + F.when(middle <= F.col("part"), 1).otherwise(0))
 
 
+def _order(kind) -> Column:
+    """What rows of a source are drawn by, as one value: null ids last."""
+    return F.struct("draw", F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id"), "size")
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 42, bins: int = BINS) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the plan repeats it, with the columns of ``docs``."""
-    row, names = "__row", docs.columns
+    """The mix itself: each row of ``docs`` as often as the plan repeats it, with the columns of ``docs``.
+
+    No text is shuffled: the plan is made from sizes alone, and of each source it
+    gives the whole repetitions and the last row in the drawn order that takes one
+    more, so every row is settled where it is read. Only rows that are alike in
+    id, size and draw, of which the plan takes some and leaves some, are numbered
+    in a window of their own.
+    """
+    row, names, kind = "__row", docs.columns, docs.schema["doc_id"].dataType
     plain = docs.select(F.struct(*[docs[c] for c in names]).alias(row))
-    sized = plain.select("*", F.col(f"{row}.doc_id").alias("doc_id"), F.col(f"{row}.source").alias("source"), words_in(F.col(f"{row}.text")).alias("size"), draw(F.col(f"{row}.doc_id"), F.col(f"{row}.text"), seed).alias("draw"))
-    repeated = _repeats(sized, weights, max_epochs, bins).where("repeats > 0")
-    return repeated.select(row, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy")).select(*[F.col(f"{row}.`{c}`").alias(c) for c in names])
+    sized = plain.select(row, F.col(f"{row}.doc_id").alias("doc_id"), F.col(f"{row}.source").alias("source"), words_in(F.col(f"{row}.text")).alias("size"), draw(F.col(f"{row}.doc_id"), F.col(f"{row}.text"), seed).alias("draw"))
+    plan = cut(_repeats(cut(sized.drop(row), "mix-sizes"), weights, max_epochs, bins).select("source", "whole", "doc_id", "size", "draw", (F.col("repeats") > F.col("whole")).alias("more")), "mix-plan")
+    place = _order(kind)
+    last = plan.groupBy("source").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("more"), place)).alias("last"))
+    ends = plan.join(last.select(F.col("source").alias("of"), "last"), plan["source"].eqNullSafe(F.col("of"))).where(place == F.col("last"))
+    ties = ends.groupBy("of").agg(F.count("*").alias("alike"), F.count_if("more").alias("taken"))
+    edges = cut(last.join(ties, last["source"].eqNullSafe(ties["of"]), "left").select(F.col("source").alias("of"), "whole", "last", "alike", "taken"), "mix-edges")
+    placed = sized.join(edges, sized["source"].eqNullSafe(edges["of"])).withColumn("__place", place)
+    tied = (F.col("__place") == F.col("last")) & (F.col("alike") > F.col("taken"))
+    settled = placed.where(~F.coalesce(tied, F.lit(False))).select(row, (F.col("whole") + F.coalesce(F.col("__place") <= F.col("last"), F.lit(False)).cast("int")).alias("repeats"))
+    if not edges.where("alike > taken").isEmpty():
+        number = F.row_number().over(Window.partitionBy("of").orderBy("draw"))
+        rest = placed.where(tied).withColumn("number", number).select(row, (F.col("whole") + (F.col("number") <= F.col("taken")).cast("int")).alias("repeats"))
+        settled = settled.unionByName(rest)
+    repeated = settled.where("repeats > 0").select(row, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"))
+    return repeated.select(*[F.col(f"{row}.`{c}`").alias(c) for c in names])
 
 
 ORACLE = r"""
