@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs.
 
-Each paragraph is hashed to a wide vector of 1024 lanes of +1 or -1; a text's
-fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2^16.
+Each paragraph is hashed to 128 bits and those to a wide vector of 1024 lanes of
++1 or -1; a text's fingerprint is the sum of its paragraphs' vectors, lane by
+lane modulo 2^32, with the number of paragraphs modulo 2^32 as one more lane.
 Equal multisets of paragraphs have equal fingerprints in any order, and a
 paragraph is inserted or deleted by adding or subtracting its vector
-(``combine``). As lanes are small and centred, the squared length of a
-difference of two fingerprints estimates how many paragraphs differ, which gives
-a likeness of texts from their fingerprints alone.
+(``combine``). The squared length of the difference of two fingerprints, taken
+modulo 2^32 first, estimates how many paragraphs differ, which gives a likeness
+of texts from their fingerprints alone; it holds while a lane stays below 2^31.
 
 A paragraph is a run of words up to the end of a line or sentence, of at most
 ``SPAN`` words; the paragraphs of a text joined are the text, so texts that
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 LANES = 1024
 SPAN = 5
 PARAGRAPH = re.compile(rf"(?:[^\s.!?]+[^\S\n]*){{1,{SPAN}}}[.!?]*\s*|[.!?]+\s*|\s+")
-STEP = np.uint64(0x9E3779B97F4A7C15)  # splitmix64's increment and multipliers
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64's multipliers
 BLOCK = 4096
+RANGE_BYTES = 16 << 20  # of text in a range of ids, about
+MAX_RANGES = 100_000
 
 
 def paragraphs(text: str) -> list[str]:
@@ -39,19 +41,21 @@ def paragraphs(text: str) -> list[str]:
 
 
 def vector_sum(parts: list[str]) -> np.ndarray:
-    """Sum of the parts' vectors: int16 lanes, wrapping modulo 2^16."""
-    total = np.zeros(LANES, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    offsets = (np.arange(1, LANES // 64 + 1, dtype=np.uint64) * STEP)[None, :]
+    """Sum of the parts' vectors and their number: LANES + 1 lanes of int32, wrapping modulo 2^32."""
+    total = np.zeros(LANES + 1, dtype=np.int64)
+    digest = xxhash.xxh3_128_digest
+    turn = np.arange(1, LANES // 64 + 1, dtype=np.uint64)[None, :]
     for at in range(0, len(parts), BLOCK):
         some = parts[at : at + BLOCK]
-        z = np.fromiter((digest(p.encode("utf-8", "surrogatepass")) for p in some), dtype=np.uint64, count=len(some))[:, None] + offsets
+        seeds = np.frombuffer(b"".join([digest(p.encode("utf-8", "surrogatepass")) for p in some]), dtype="<u8").reshape(-1, 2)
+        z = seeds[:, :1] + turn * (seeds[:, 1:] | np.uint64(1))  # a sequence of its own for each 128 bits
         z = (z ^ (z >> np.uint64(30))) * MIX[0]
         z = (z ^ (z >> np.uint64(27))) * MIX[1]
         z ^= z >> np.uint64(31)
-        ones = np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-        total += 2 * ones - len(some)
-    return total.astype(np.int16)
+        ones = np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.uint16)  # at most BLOCK
+        total[:LANES] += 2 * ones.astype(np.int64) - len(some)
+        total[LANES] += len(some)
+    return total.astype(np.int32)
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -67,14 +71,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of paragraphs in common, 0 to 1, estimated from fingerprints: 1 if they are equal."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.astype(np.float64), b.astype(np.float64)
+    gap = (a - b)[:LANES].astype(np.float64)  # modulo 2^32, then centred
+    x, y = a[:LANES].astype(np.float64), b[:LANES].astype(np.float64)
     whole = float(x @ x + y @ y)
-    return min(1.0, max(0.0, 1.0 - float((x - y) @ (x - y)) / whole)) if whole else 1.0
-
-
-def digest_of(vector: np.ndarray) -> str:
-    """Short name of a fingerprint: 128 bits of BLAKE2b over its lanes, lowercase hex."""
-    return hashlib.blake2b(vector.astype("<i2").tobytes(), digest_size=16).hexdigest()
+    return min(1.0, max(0.0, 1.0 - float(gap @ gap) / whole)) if whole else 0.0
 
 
 def edited(text: str, other: str) -> str:
@@ -87,15 +87,19 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, place, doc_id, text): every row in its range of ids (place 0) and, at each range's end, a copy of the next range's first row (place 1).
 
     Ranges are in descending order of doc_id, null last; the last range is
-    followed by the first row of all. Texts are shuffled once, by range. Range
-    bounds come from an approximate percentile of the ids; only they and each
-    range's first id reach the driver, both at most ``buckets`` numbers.
+    followed by the first row of all. Texts are shuffled once, by range, one
+    range a partition. There is a range for each RANGE_BYTES of text, at most
+    MAX_RANGES; their bounds come from an approximate percentile of the ids, and
+    only bounds and each range's first id reach the driver and, as a broadcast
+    table, the tasks.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if buckets is None:
+        bytes_ = plain.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+        buckets = min(MAX_RANGES, max(1, -(-bytes_ // RANGE_BYTES)))
     at = [k / buckets for k in range(1, buckets)]
-    bounds = plain.agg(F.percentile_approx("doc_id", at or [0.5], F.lit(10_000)).alias("b")).first()["b"] or []
+    bounds = plain.agg(F.percentile_approx("doc_id", at or [0.5], F.lit(max(10_000, 10 * buckets))).alias("b")).first()["b"] or []
     splits = [-float("inf"), *sorted({float(b) for b in bounds} or {0.0}), float("inf")]
     number = F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf")))  # descending, null last
     cuts = [-s for s in reversed(splits)]
@@ -104,19 +108,17 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = sorted((r["bucket"], r["head"]) for r in ranged.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return ranged.select("bucket", F.lit(0).alias("place"), "doc_id", "text")
-    # the head of each range again, as what follows the range before it; the first head follows the last range
-    follows = {bucket: heads[k - 1][0] for k, (bucket, _) in enumerate(heads)}
-    lists = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair])
-    first = {bucket: head for bucket, head in heads}
-    firsts = F.create_map(*[F.lit(x) if x is not None else F.lit(None).cast("long") for pair in first.items() for x in pair])
-    copy = F.when(F.col("doc_id").eqNullSafe(F.element_at(firsts, F.col("bucket"))), F.element_at(lists, F.col("bucket")))
-    places = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("place")), F.when(copy.isNotNull(), F.struct(copy.alias("bucket"), F.lit(1).alias("place")))))
-    dealt = ranged.select(F.explode(places).alias("p"), "doc_id", "text").select("p.bucket", "p.place", "doc_id", "text")
-    return dealt.repartition(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "place", F.col("doc_id").desc_nulls_last(), "text")
+    # partitions are numbered by their ranges that have rows; a range's head again follows the range before it, the first head the last range
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = spark.createDataFrame([(bucket, head, k, (k - 1) % len(heads)) for k, (bucket, head) in enumerate(heads)], f"bucket int, head {kind}, own int, before int")
+    named = ranged.join(F.broadcast(known), "bucket")
+    again = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("place")))
+    dealt = named.select(F.explode(F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("place")), again))).alias("p"), "doc_id", "text").select("p.bucket", "p.place", "doc_id", "text")
+    return dealt.repartitionById(len(heads), "bucket").sortWithinPartitions("bucket", "place", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprint_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (1024 lanes of 16 bits, little-endian), near_edited, near_next.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (lanes of 32 bits, little-endian), near_edited, near_next.
 
     The next document is that with the next smaller doc_id; after the smallest
     comes the largest. Null texts count as empty, and the empty text's
@@ -141,7 +143,7 @@ def fingerprint_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                         raise RuntimeError("a range of ids has no following row")
                     changed = edited(held[2], text)
                     other = fingerprint(changed)
-                    out.append((held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[3].astype("<i2").tobytes(), other.astype("<i2").tobytes(), likeness(held[3], other), likeness(held[3], mark)))
+                    out.append((held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[3].astype("<i4").tobytes(), other.astype("<i4").tobytes(), likeness(held[3], other), likeness(held[3], mark)))
                 held = None if place else (bucket, doc_id, text, mark)
             columns = list(zip(*out)) or [[] for _ in names]
             types = [batch.schema.field(2).type, pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
