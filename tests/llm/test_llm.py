@@ -135,7 +135,17 @@ def test_mix_targets(docs, edge):
     plan = Counter({r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.plan_mix(docs).collect()})
     assert Counter(r[0] for r in pairs(mixing.mixed(docs), "doc_id")) == +plan
     assert mixing.mixed(edge).columns == edge.columns
-    assert mixing.plan_mix(docs.limit(0)).count() == 0
+    assert mixing.plan_mix(docs.limit(0)).count() == mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_mix_takes_some_of_rows_that_are_alike(spark):
+    rows = [(7, "a b c", "x", k) for k in range(200)] + [(k, "d e", "y", 0) for k in range(300)] + [(None, "f", None, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.plan_mix(df).collect():
+        want[r["doc_id"]] += r["taken"] // r["size"]
+    assert Counter(i for (i,) in pairs(mixing.mixed(df), "doc_id")) == +want
+    assert 200 < want[7] % 200 + 200 < 400  # some of the rows take one more, some don't
 
 
 # fingerprints
@@ -179,6 +189,60 @@ def test_fingerprint_is_homomorphic():
         assert "".join(fingerprints.paragraphs(text)) == text
 
 
+def plain_lanes(text):
+    """Sums of a text's paragraphs' lanes and their number, by plain integers."""
+    lanes, most = [0] * 1024, (1 << 64) - 1
+    parts = fingerprints.paragraphs(text)
+    for p in parts:
+        h = xxhash.xxh3_128_digest(p.encode())
+        first, step = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little") | 1
+        for k in range(16):
+            z = (first + (k + 1) * step) & most
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & most
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & most
+            z ^= z >> 31
+            for i, byte in enumerate(z.to_bytes(8, "little")):
+                for j in range(8):
+                    lanes[64 * k + 8 * i + j] += 1 if byte >> (7 - j) & 1 else -1
+    return lanes + [len(parts)]
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    whole = sum(v * v for v in x[:1024]) + sum(v * v for v in y[:1024])
+    return min(1.0, max(0.0, 1 - sum((v - w) ** 2 for v, w in zip(x[:1024], y[:1024])) / whole)) if whole else 0.0
+
+
+def test_fingerprints_against_plain_sums(spark, docs):
+    short = spark.createDataFrame([r for r in pairs(docs, "doc_id", "text") if len(r[1] or "") < 900][:40] + [(900_001, None), (900_002, "one. two"), (900_003, "two. one")], "doc_id long, text string")
+    rows = sorted(((i, t or "") for i, t in pairs(short, "doc_id", "text")), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.digests(short, buckets=4).collect()}
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        own, edit, other = (plain_lanes(t) for t in (text, text[: len(text) - half] + after[:half], after))
+        name = lambda x: hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest()[:32]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (name(own), name(edit))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((plain_likeness(own, edit), plain_likeness(own, other)), abs=1e-12)
+
+
+def test_fingerprints_of_lines_repeated_very_often():
+    for n in (32_767, 65_535, 65_536):
+        a, b = (fingerprints.fingerprint("a line\n" * k) for k in (n, n + 1))
+        assert fingerprints.likeness(a, b) > 0.999 and not np.array_equal(a, b)
+        assert fingerprints.likeness(a, fingerprints.fingerprint("another\n" * n)) < 0.2
+        assert not np.array_equal(a, fingerprints.fingerprint(""))
+    one = fingerprints.fingerprint("a line\n")
+    assert np.array_equal(fingerprints.combine(fingerprints.fingerprint("a line\n" * 70_000), one, -1), fingerprints.fingerprint("a line\n" * 69_999))
+
+
+def test_ranges_of_ids_are_one_partition_each(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "repeat('x ', 200) as text")
+    sizes = [n for (n,) in pairs(fingerprints.with_next(df, 8).groupBy(F.spark_partition_id().alias("p")).count(), "count")]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+
+
 # url filters
 
 
