@@ -4,7 +4,8 @@ A rule is a host and a path, block or allow; it fits its host and all subdomains
 where the path starts with the rule's, and the longest fitting rule decides. A
 URL that no rule fits takes the decision of its aliases: URLs joined to it by
 redirects (a table of them, or meta refresh in the page) and canonical links,
-taken as undirected edges. Within a component an explicit allow goes before any
+taken as undirected edges. Links are read by an HTML parser and resolved as a
+browser does: every tag counts, comments and scripts don't, ``<base>`` does. Within a component an explicit allow goes before any
 block; without a decision in the component the URL is allowed.
 
 Components run over distinct URLs that have an edge, distributed, by
@@ -13,17 +14,18 @@ Components run over distinct URLs that have an edge, distributed, by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, connected_components, cut
 
-CANONICAL_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH_TAG = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'>\s]+)"
-REFRESH_URL = r"(?is)\bcontent\s*=\s*[\"']?\s*\d*\s*;?\s*url\s*=\s*[\"']?\s*([^\"'>\s]+)"
+REFRESH = re.compile(r"""\s*[\d.]*\s*[;,]?\s*url\s*=\s*(?:"([^"]*)|'([^']*)|(\S.*))""", re.I | re.S)
 SMALL_RULES = 256
 
 
@@ -37,35 +39,69 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_key(url: Column) -> Column:
-    """What stands for a URL in the graph: host, path and query, without scheme and fragment; null without a host."""
-    host = host_of(url)
-    query = F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
+def plain_path(path: Column) -> Column:
+    """A path without its dot segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    start = F.array().cast("array<string>")
+    step = lambda seen, x: F.when(x == ".", seen).when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(x)))
+    kept = F.aggregate(parts, start, step)
+    end = F.when(path.rlike(r"/\.\.?$"), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
-def resolved(target: Column, base: Column) -> Column:
-    """An absolute URL for a link found on the page ``base``; null for what isn't http(s)."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    host = F.regexp_extract(base, r"(?s)^.*?://([^/?#]*)", 1)
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
-    return (
-        F.when((target == "") | target.isNull() | ~base.contains("://"), None)
-        .when(target.rlike(r"(?i)^https?://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
-        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), target))
-    )
+def url_key(url: Column) -> Column:
+    """What stands for a URL in the graph: host, path and query, without scheme, fragment, default port and dot segments; null without a host."""
+    scheme = ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    port = F.when(scheme == "https", r":(443)?$").otherwise(r":(80)?$")
+    host = F.regexp_replace(host_of(url), port, F.lit(""))
+    query = F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(plain_path(path_of(url))), query))
+
+
+class Links(HTMLParser):
+    """The canonical links and refreshes of a page, as they are written, and its base."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.base: str | None = None
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        given = {k: v or "" for k, v in reversed(attrs)}  # of a repeated attribute the first counts
+        if tag == "base" and self.base is None and given.get("href", "").strip():
+            self.base = given["href"].strip()
+        elif tag == "link" and "canonical" in given.get("rel", "").lower().split() and given.get("href", "").strip():
+            self.found.append(given["href"].strip())
+        elif tag == "meta" and given.get("http-equiv", "").strip().lower() == "refresh" and (at := REFRESH.match(given.get("content", ""))):
+            self.found.append(next(x for x in at.groups() if x is not None).strip())
+
+
+def links_of(url: str, html: str) -> list[str]:
+    """Absolute http, https and ftp URLs that a page's canonical links and refreshes lead to."""
+    reader = Links()
+    reader.feed(html)
+    reader.close()
+    out = []
+    for target in reader.found:
+        try:
+            whole = urljoin(urljoin(url, reader.base or ""), target)
+        except ValueError:  # no URL, as an open bracket in a host
+            continue
+        if re.match(r"(?i)(https?|ftp)://", whole):
+            out.append(whole)
+    return out
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target): the canonical link and the meta refresh of every page, resolved."""
-    def link(tag: str, value: str) -> Column:
-        return resolved(F.regexp_extract(F.regexp_extract(F.col("html"), tag, 0), value, 1), F.col("url"))
+    """(url, target): the canonical links and meta refreshes of every page, resolved."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(url, target) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for target in links_of(url, html)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], names=["url", "target"])
 
-    found = pages.select("url", "html").where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv")).select("url", F.explode(F.array(link(CANONICAL_TAG, HREF), link(REFRESH_TAG, REFRESH_URL))).alias("target"))
-    return found.where(F.col("target").isNotNull())
+    some = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh"))
+    return some.mapInArrow(scan, "url string, target string")
 
 
 def ruled(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
