@@ -146,18 +146,29 @@ def _finish(temporary: str, final: str) -> None:
     store.move(path, fs.FileSystem.from_uri(final)[1])
 
 
+HOT_SHARE = 1000  # a payload of more than one page in so many is hot: there are fewer than that
+
+
 def with_referrals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to): refers_to is the smallest page_id of an equal payload of at least ``min_bytes`` bytes, null for that page itself.
 
-    Only digests and ids are grouped; hot payloads combine map-side. Payloads
-    that occur once, the most, never join.
+    Only digests and ids are grouped, combined map-side. Hot payloads (an error
+    page, say), fewer than HOT_SHARE by their definition, get their page by a
+    broadcast join; the other pages join by digest, and the hot ones pass that
+    join spread by their own hash, so no task gets a payload's pages alone.
     """
     plain = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = plain.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    digest = F.substring(F.unhex(F.sha2(F.col("html").cast("binary"), 256)), 1, 16)
     large = F.octet_length("html") >= min_bytes
-    several = keyed.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = keyed.join(several, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    counts = cut(plain.where(large).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-repeated")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(counts.where(F.col("n") * HOT_SHARE > total).select(F.col("digest").alias("hot"), F.col("first").alias("hot_first")))
+    named = plain.withColumn("digest", digest).join(hot, F.col("digest") == F.col("hot"), "left")
+    spread = F.concat(F.lit("hot").cast("binary"), F.unhex(F.hex(F.xxhash64("page_id", "url"))))  # 11 bytes: no digest
+    keyed = named.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(spread))
+    joined = keyed.join(counts.select(F.col("digest").alias("key"), "first"), "key", "left")
+    first = F.coalesce("hot_first", "first")
+    return joined.select("page_id", "url", "html", F.when(large & ~first.eqNullSafe(F.col("page_id")), first).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, per_archive: int = RECORDS) -> DataFrame:
