@@ -273,6 +273,52 @@ def test_urls(spark, sf):
     assert Q.op4_url_filter(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
 
 
+def test_links_are_read_as_a_browser_reads_them(spark):
+    link = lambda href, more="": f"<link {more} rel='alternate Canonical' href=\"{href}\">"
+    pages = [
+        (1, "http://www.a.org/x/y", "<p>" + link("../fr/q?a=1&amp;b=2")),  # dots and entities: www.a.org/fr/q?a=1&b=2
+        (2, "http://www.a.org/fr/q?a=1&b=2", link("http://n.net/fr/1")),  # so 1, 2 and a blocked page are one
+        (3, "http://p.org/1", link("https://www.a.net:443/fr/z")),  # default port
+        (4, "http://p.org/2", f"<!-- {link('http://n.net/fr/1')} --><script>var a = \"{link('http://n.net/fr/1')}\"</script>"),
+        (5, "http://p.org/3", '<link data-rel="canonical" rel=x href="http://n.net/fr/1"><a rel=canonical href="http://n.net/fr/1">'),
+        (6, "http://p.org/4", "<link rel=stylesheet href=/s.css>" + link("http://q.org/it's%20a b")),  # second tag, apostrophe, space
+        (7, "http://q.org/it's%20a b", "<META http-equiv='Refresh' content='0; URL=\"http://n.net/es/1\"'>"),
+        (8, "http://p.org/5", '<base href="http://n.net/fr/"><base href="http://x.com/">' + link("here")),
+        (9, "http://p.org/6", link("javascript:x()") + link("mailto:a@n.net") + link("http://[n.net/fr/") + "<link rel=canonical>"),
+        (10, "http://P.org:80/7/../8", "<meta http-equiv=refresh content=5>" + link("./9/.")),  # p.org/9/
+        (11, "http://p.org/9/", link("http://n.net/fr/2")),
+        (12, "http://p.org/8", ""),  # the same address as 10
+        (13, "http://p.org/10", link("http://www.example.com/en/1") + link("http://n.net/fr/3")),  # allow goes before block
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdicts = dict(pairs(url_filter.judge_urls(df, Q.URL_RULES), "page_id", "verdict"))
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 6, 7, 8, 10, 11, 12}
+    assert verdicts[13] == "allow"
+
+
+def test_long_chains_of_pages_decide_verdicts(spark):
+    pages = [(k, f"http://c{k % 7}.org/p{k}", f"<link rel=canonical href=http://c{(k + 1) % 7}.org/p{k + 1}>") for k in range(300) if k != 150]
+    pages += [(1000, "http://c6.org/p300", "<meta http-equiv=refresh content='0;url=http://x.net/fr/'>"), (1001, "http://star.org/", "".join(f"<link rel=canonical href=http://s{k}.org/>" for k in range(200)))]
+    pages += [(2000 + k, f"http://s{k}.org", "") for k in range(200)]
+    edges = {}
+    for _, url, html in pages:
+        for t in re.findall(r"(?:href|url)=(http://[^>']+)", html):
+            a, b = (u.removeprefix("http://") for u in (url, t))
+            a, b = (u if "/" in u else u + "/" for u in (a, b))
+            edges.setdefault(a, set()).add(b)
+            edges.setdefault(b, set()).add(a)
+    reach, todo = {"x.net/fr/"}, ["x.net/fr/"]
+    while todo:
+        for b in edges.get(todo.pop(), ()):
+            if b not in reach:
+                reach.add(b)
+                todo.append(b)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = url_filter.judge_urls(df, Q.URL_RULES)
+    for i, host, path, verdict in pairs(got, "page_id", "host", "path", "verdict"):
+        assert verdict == ("block" if host + (path or "/") in reach else "allow"), i
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5001, 5300)] + [(7, 7), (None, 3)]
