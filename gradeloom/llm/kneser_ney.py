@@ -5,7 +5,8 @@ mark. Words are 64-bit hashes. Counting goes in three shuffles of packed arrays
 (one row per task and shard, not per bigram), each combined map-side first:
 
 1. (context, word) -> count, by shards of the context. A context with more than
-   its share of all tokens is spread over all shards by word.
+   its share of all tokens is spread over all shards by word. There is a shard
+   for each SHARD_BYTES of text.
 2. word -> number of distinct contexts (the continuation counts), by word.
 3. word -> plain count, by word.
 
@@ -33,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_folder, local_path
+from .common import cut, drop_cut, fresh_folder, local_path
 
 START, END = np.uint64(1), np.uint64(2)
 ODD = np.uint64(0x9E3779B97F4A7C15)  # splitmix64's increment and multiplier
 MUL = np.uint64(0xBF58476D1CE4E5B9)
 COMBINE_TOKENS = 4_000_000  # tokens that a task holds before it combines them
-SHARD_TOKENS = 4_000_000
+SHARD_BYTES = 24_000_000  # of text, about four million tokens
+HOT_WORDS = 65_536  # spread contexts, at most
 
 
 def word_ids(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -128,7 +130,7 @@ class Model:
     discount: np.ndarray
     lower_discount: np.ndarray
     lower_left: float
-    hot: np.ndarray = field(repr=False)  # spread contexts, sorted: at most 4 per shard
+    hot: np.ndarray = field(repr=False)  # spread contexts, sorted: at most 4 per shard and HOT_WORDS
     hot_count: np.ndarray = field(repr=False)
     hot_kinds: np.ndarray = field(repr=False)  # per hot context: followers seen once, twice, more often
 
@@ -245,28 +247,29 @@ def count(docs: DataFrame) -> Model:
     folder = fresh_folder(spark, "lm")
     if (path := local_path(folder)) is not None:
         os.makedirs(path, exist_ok=True)
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bytes_ = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // SHARD_BYTES))
 
-    # plain counts of words, still packed; how large the corpus is follows from them
-    words = cut(_word_rows(docs, least), "lm-words")
+    # plain counts of words, still packed
+    words = cut(_word_rows(docs, shards), "lm-words")
 
     def tally(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(b, np.uint64) for b in group["words"]])
         counts = np.concatenate([unpack_counts(c, len(b) // 8) for b, c in zip(group["words"], group["counts"])])
         keys, counts = combined(keys, counts)
-        top = np.argsort(-counts, kind="stable")[: 4 * least]
-        return pd.DataFrame({"shard": [key[0]], "words": [keys.tobytes()], "counts": [pack_counts(counts)], "types": [len(keys)], "tokens": [int(counts.sum())], "ends": [int(counts[keys == END].sum())], "top": [keys[top].tobytes()], "top_counts": [counts[top].astype("<i8").tobytes()]})
+        top = np.argsort(-counts, kind="stable")[:64]  # of a shard's words these may be hot; which ones are changes no score
+        return pd.DataFrame({"shard": [key[0]], "words": [keys.tobytes()], "counts": [pack_counts(counts)], "types": [len(keys)], "tokens": [int(counts.sum())], "ends": [int(counts[keys == END].sum())], "top": [keys[top].view(np.int64)], "top_counts": [counts[top].astype(np.int64)]})
 
-    tallied = cut(words.repartition(least, "shard").groupBy("shard").applyInPandas(tally, "shard int, words binary, counts binary, types long, tokens long, ends long, top binary, top_counts binary"), "lm-tally")
+    tallied = cut(words.repartition(shards, "shard").groupBy("shard").applyInPandas(tally, "shard int, words binary, counts binary, types long, tokens long, ends long, top array<long>, top_counts array<long>"), "lm-tally")
+    drop_cut(words)
     sums = tallied.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends")).first()
     tokens, types, texts = sums["tokens"] or 0, sums["types"] or 0, sums["ends"] or 0
-    shards = max(least, -(-tokens // SHARD_TOKENS))
-    limit = max(1, tokens // (4 * shards))
-    tops = [(k, c) for r in tallied.select("top", "top_counts").toLocalIterator() for k, c in zip(np.frombuffer(r["top"], np.uint64), np.frombuffer(r["top_counts"], "<i8")) if c > limit]
-    spread = dict(tops) | ({START: texts} if texts > limit else {})
-    spread.pop(END, None)  # nothing follows an end
+    limit = max(1, tokens // (4 * shards), tokens // HOT_WORDS)
+    often = tallied.select(F.inline(F.arrays_zip("top", "top_counts"))).where(F.col("top_counts") > limit).collect()  # a word is in one shard
+    spread = {r["top"] % (1 << 64): r["top_counts"] for r in often} | ({int(START): texts} if texts > limit else {})
+    spread.pop(int(END), None)  # nothing follows an end
     hot = np.array(sorted(spread), dtype=np.uint64)
-    hot_count = np.array([spread[k] for k in hot], dtype=np.int64)
+    hot_count = np.array([spread[k] for k in hot.tolist()], dtype=np.int64)
 
     def store_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         some = [unpack_pairs(r) for r in group[["contexts", "runs", "words", "counts"]].itertuples(index=False)]
@@ -275,7 +278,7 @@ def count(docs: DataFrame) -> Model:
         pair = mix(context, word)
         order = np.argsort(pair)
         _store(folder, f"pair-{name}", pair[order])
-        _store(folder, f"pair-count-{name}", np.minimum(total[order], 2**32 - 1).astype(np.uint32))
+        _store(folder, f"pair-count-{name}", total[order].astype(np.uint32 if total.max(initial=0) < 2**32 else np.uint64))
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         kinds = [np.add.reduceat((total == k) if k < 3 else (total >= 3), first, dtype=np.int64) for k in (1, 2, 3)]
         sizes = np.add.reduceat(total, first)
@@ -289,19 +292,18 @@ def count(docs: DataFrame) -> Model:
         edges = np.searchsorted(by[order], np.arange(shards + 1))
         rows = [(s, once[0][order][a:b].tobytes(), pack_counts(once[1][order][a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
         out = pd.DataFrame(rows, columns=["shard", "words", "counts"])
-        head = pd.DataFrame({"shard": [-1], "words": [context[first][where].tobytes()], "counts": [np.stack(kinds, 1)[where].astype("<i8").tobytes()]})
-        out = pd.concat([head, out], ignore_index=True)
-        out["n"] = [[int((total == k).sum()) for k in (1, 2, 3, 4)] + [len(total)]] + [None] * len(rows)
-        return out
-
-    followed = cut(_pair_rows(docs, shards, hot).repartition(shards, "shard").groupBy("shard").applyInPandas(store_pairs, "shard int, words binary, counts binary, n array<long>"), "lm-pairs")
-    n, pairs = [0] * 4, 0
+        out["n"] = None
+        counts = [int((total == k).sum()) for k in (1, 2, 3, 4)] + [len(total)]
+        head = pd.DataFrame({"shard": [-1], "words": [None], "counts": [None], "n": [counts], "hot": [context[first][where].view(np.int64)], **{f"kind{k + 1}": [kinds[k][where]] for k in range(3)}})
+        return pd.concat([head, out.assign(hot=None, kind1=None, kind2=None, kind3=None)], ignore_index=True)
+
+    longs = ", ".join(f"{c} array<long>" for c in ("n", "hot", "kind1", "kind2", "kind3"))
+    followed = cut(_pair_rows(docs, shards, hot).repartition(shards, "shard").groupBy("shard").applyInPandas(store_pairs, f"shard int, words binary, counts binary, {longs}"), "lm-pairs")
+    heads = followed.where("shard = -1")
+    *n, pairs = (x or 0 for x in heads.agg(*[F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(5)]).first())
     kinds = np.zeros((len(hot), 3), dtype=np.int64)
-    for r in followed.where("shard = -1").select("words", "counts", "n").toLocalIterator():  # one row per shard
-        n = [a + b for a, b in zip(n, r["n"])]
-        pairs += r["n"][4]
-        place = np.searchsorted(hot, np.frombuffer(r["words"], np.uint64))
-        np.add.at(kinds, place, np.frombuffer(r["counts"], "<i8").reshape(-1, 3))
+    for r in heads.select(F.inline(F.arrays_zip("hot", "kind1", "kind2", "kind3"))).groupBy("hot").agg(*[F.sum(f"kind{k}").alias(f"kind{k}") for k in (1, 2, 3)]).collect():  # one row per spread context
+        kinds[np.searchsorted(hot, np.uint64(r["hot"] % (1 << 64)))] = r["kind1"], r["kind2"], r["kind3"]
     discount = discounts(n)
 
     # counts of contexts per word, first for their counts of counts, then stored with the probabilities
@@ -314,6 +316,7 @@ def count(docs: DataFrame) -> Model:
         return pd.DataFrame({"shard": [key[0]], "words": [keys.tobytes()], "counts": [pack_counts(counts)], "n": [[int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum())]]})
 
     merged = cut(followed.where("shard >= 0").select("shard", "words", "counts").repartition(shards, "shard").groupBy("shard").applyInPandas(merge, "shard int, words binary, counts binary, n array<long>"), "lm-followers")
+    drop_cut(followed)
     m = merged.agg(*[F.sum(F.get("n", F.lit(k))).alias(f"m{k}") for k in range(6)]).first()
     m = [x or 0 for x in m]
     lower = discounts(m[:4])
@@ -332,19 +335,10 @@ def count(docs: DataFrame) -> Model:
         _store(folder, f"word-p-{name}", p.astype(np.float64))
         return pd.DataFrame({"words": [len(keys)]})
 
-    def resplit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = followers(group)
-        by = (keys % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(by, kind="stable")
-        edges = np.searchsorted(by[order], np.arange(shards + 1))
-        return pd.DataFrame([(s, keys[order][a:b].tobytes(), pack_counts(counts[order][a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a], columns=["shard", "words", "counts"])
-
-    if shards == least:
-        plain = tallied.select("shard", "words", "counts")
-    else:
-        plain = tallied.groupBy("shard").applyInPandas(resplit, "shard int, words binary, counts binary")
-    stored = plain.groupBy("shard").cogroup(merged.select("shard", "words", "counts").groupBy("shard")).applyInPandas(store_words, "words long")
+    stored = tallied.select("shard", "words", "counts").groupBy("shard").cogroup(merged.select("shard", "words", "counts").groupBy("shard")).applyInPandas(store_words, "words long")
     cut(stored, "lm-stored")
+    drop_cut(tallied)
+    drop_cut(merged)
     return Model(folder, shards, tokens, types, pairs, discount, lower, lower_left, hot, hot_count, kinds)
 
 
