@@ -797,9 +797,9 @@ def test_warc_reader_refuses_damage():
 # language-model scoring
 
 
-@pytest.mark.parametrize("shard_tokens", [4_000_000, 5_000])
-def test_lm_scores(spark, docs, edge, shard_tokens, monkeypatch):
-    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", shard_tokens)
+@pytest.mark.parametrize("shard_bytes", [24_000_000, 30_000])
+def test_lm_scores(spark, docs, edge, shard_bytes, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", shard_bytes)
     df = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100_000))
     rows = pairs(df, "doc_id", "text")
     tok = lambda s: [*(s or "").encode().lower().split(), b"\0end"]
