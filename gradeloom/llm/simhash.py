@@ -283,11 +283,32 @@ def may_be_alike(bound: Fraction):
     return most * (up + low) >= up * (F.col("size") + F.col("other_size"))  # both >= bound * (size + other_size - both)
 
 
+PARITY = tuple(f"parity{k}" for k in range(8))  # 512 bits: whether a text has an odd number of the shingles that fall to a bit
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A set's parity bits, as eight signed longs."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def few_differences(bound: Fraction):
+    """Condition on two texts' sizes and parities: true if they are alike.
+
+    Each shingle that only one of them has changes one parity bit, so the bits
+    that differ are never more than such shingles, of which alike texts have at
+    most (1 - bound) / (1 + bound) of both sizes.
+    """
+    up, low = bound.numerator, bound.denominator
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"other_{PARITY[0]}"))))
+    return bits * (up + low) <= (low - up) * (F.col("size") + F.col("other_size"))
+
+
 BITS = 1 << 24  # of the marks that a driver holds for the texts to read again
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): all shingle hashes of the texts in ``nodes``, and by chance of few others."""
+    """(node, shingles, parity bits): all shingle hashes of the texts in ``nodes``, and by chance of few others."""
     place = F.pmod("node", F.lit(BITS))
     words = nodes.select(F.floor(place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     marks = np.zeros(BITS // 64, dtype=np.uint64)
@@ -301,10 +322,14 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             for node, words in distinct_texts(batch.column(0), seen):
                 at = node % BITS
                 if int(marks[at >> 6]) >> (at & 63) & 1:
-                    found.append((node, shingle_hashes(words, shingle).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
+                    own = shingle_hashes(words, shingle)
+                    found.append((node, own.tobytes(), parities(own)))
+            bits = np.array([b for _, _, b in found], dtype=np.int64).reshape(-1, len(PARITY))
+            columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(PARITY)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", *PARITY])
 
-    return docs.select("text").mapInArrow(scan, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    schema = "node long, shingles binary, " + ", ".join(f"{c} long" for c in PARITY)
+    return docs.select("text").mapInArrow(scan, schema).groupBy("node").agg(*[F.first(c).alias(c) for c in ("shingles", *PARITY)])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
@@ -327,8 +352,10 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     Texts that share a prefix key are compared with the key's smallest node first.
     What these links join is one component however many pairs it has; a second
     text for each key follows, and then every pair under a key that is not yet
-    joined is compared too. A key whose texts are mostly not alike takes the
-    square of their number.
+    joined is looked at too: those whose places under the key or whose parity
+    bits show that they can't be alike end inside the join, the others are
+    compared. A key whose texts are mostly not alike takes bit counts of the
+    square of their number, and comparisons of few more pairs than are alike.
     """
     keyed = cut(prefix_keys(docs, bound, shingle), "similar-keys")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
@@ -338,30 +365,30 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     head_rows = shared.where("node = head").select("key", F.col("place").alias("other_place"), F.col("size").alias("other_size"))
     stars = cut(shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
     first = cut(verified(stars, sets, bound), "similar-first")
-    open_rows = cut(apart(shared, first), "similar-open")
+    open_rows = cut(apart(shared.drop("head"), first).join(sets.select("node", *PARITY), "node"), "similar-open")
     # then one text of each key, another one for each, so that a group that the first heads did not join falls together
     ranked = open_rows.withColumn("rank", F.xxhash64("key", "node"))
     tops = ranked.groupBy("key").agg(F.min("rank").alias("rank"))
-    pairs = open_pairs(open_rows, ranked.join(tops, ["key", "rank"]).drop("rank")).where(may_be_alike(bound))
+    pairs = open_pairs(open_rows, ranked.join(tops, ["key", "rank"]).drop("rank")).where(may_be_alike(bound) & few_differences(bound))
     more = cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"), "similar-more")
     first = first.unionByName(cut(verified(more, sets, bound), "similar-again"))
-    open_rows = cut(apart(shared, first), "similar-open")
-    rest = open_pairs(open_rows, open_rows).where((F.col("node") < F.col("other_node")) & may_be_alike(bound))
+    open_rows = cut(apart(open_rows.drop("component"), first), "similar-open")
+    rest = open_pairs(open_rows, open_rows).where((F.col("node") < F.col("other_node")) & may_be_alike(bound) & few_differences(bound))
     left = ordered(rest).join(stars.unionByName(more), ["a", "b"], "left_anti")
     return first.unionByName(cut(verified(left, sets, bound), "similar-second"))
 
 
 def apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, node, place, size, component): the rows of ``shared`` under keys whose texts ``edges`` do not join all."""
+    """The rows of ``shared`` under keys whose texts ``edges`` do not join all, with their component."""
     groups = connected_components(edges, "similar-links")
-    joined = shared.select("key", "node", "place", "size").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keys = joined.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     return joined.join(keys, "key")
 
 
 def open_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
     """Rows with the other rows of their key that are in another component."""
-    renamed = others.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "place", "size", "component")))
+    renamed = others.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "place", "size", "component", *PARITY)))
     return rows.join(renamed, "key").where(F.col("component") != F.col("other_component"))
 
 
