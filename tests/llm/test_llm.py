@@ -491,6 +491,23 @@ def test_similar_groups(spark):
     assert simhash.jaccard(a, b, 200) == pytest.approx(95 / 105)
 
 
+def test_parities_never_rule_out_texts_that_are_alike(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (1, 5, 40, 146, 1000, 9000):
+        for part in (0.0, 0.05, 0.11, 0.12, 0.2, 0.5):
+            own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            gone = int(part * n)
+            other = np.concatenate([own[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)])
+            gap = int(np.bitwise_count(simhash.parities(own) ^ simhash.parities(other)).sum())
+            assert gap <= 2 * gone
+            true = simhash.alike(np.unique(own), np.unique(other), simhash.Fraction("0.8"))
+            rows.append((n, n, true, *simhash.parities(own).tolist(), *simhash.parities(other).tolist()))
+    names = ["size", "other_size", "true", *simhash.PARITY, *(f"other_{c}" for c in simhash.PARITY)]
+    got = pairs(spark.createDataFrame(rows, names).select("true", simhash.few_differences(simhash.Fraction("0.8")).alias("may")), "true", "may")
+    assert all(may for true, may in got if true) and not all(may for _, may in got)
+
+
 def components(rows, similarity=0.8):
     """doc_id: smallest doc_id of the component that exact similarities of five-word shingles give; rows (doc_id, text)."""
     sets = {}
