@@ -7,6 +7,7 @@ outside ASCII reach.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql.types import StringType
 from . import vocabulary as V
 
 GAPS = f"[{V.SPACE}]+"
-ENDS = f"^[{V.SPACE}]+|[{V.SPACE}]+$"
+SPACES = "".join(c for c in map(chr, range(1 << 16)) if re.match(f"[{V.SPACE}]", c))
 
 
 def let(value: Column, body) -> Column:
@@ -28,7 +29,7 @@ def let(value: Column, body) -> Column:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, ENDS, "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def has(s: Column, pattern: str) -> Column:
@@ -146,11 +147,12 @@ def parse_mark(s: Column, semantics: str = "reference") -> Column:
     number = "^(\\d+\\.?\\d*|\\.\\d+)"
 
     def parsed(t: Column) -> Column:
-        top, bottom = (F.regexp_extract(t, ratio, k).try_cast("int") for k in (1, 2))
+        # no match gives an empty text: made null first, as a cast that fails costs far more than the match
+        top, bottom = (F.nullif(F.regexp_extract(t, ratio, k), F.lit("")).try_cast("int") for k in (1, 2))
         share = F.when(bottom > 0, F.try_divide(top.cast("double"), bottom.cast("double")) * 20)
         dotted = F.regexp_replace(t, "^([^,]*),", "$1.")
         plain = F.when(dotted.rlike("^\\d+(\\.\\d*)?$"), dotted) if corrected else F.regexp_replace(dotted, "[^\\d.]", "")
-        value = F.regexp_extract(plain, number, 1).try_cast("double")
+        value = F.nullif(F.regexp_extract(plain, number, 1), F.lit("")).try_cast("double")
         within = lambda v: F.when(v.between(0, 20), F.round(v, 2))
         return let(share, lambda r: F.coalesce(within(r), let(value, within)))
 
@@ -195,11 +197,14 @@ def clean_student_name(s: Column) -> Column:
 def is_summary_row(s: Column) -> Column:
     names = F.regexp_extract_all(s, F.lit(f"([{V.ARABIC}]{{3,}})"), F.lit(1))
     named = F.exists(names, lambda n: ~any_of(n, V.SUMMARY_NAMES))
-    low = F.lower(trim(s))
-    starts = F.lit(False)
-    for word in V.SUMMARY_WORDS:
-        starts = starts | low.startswith(word)
-    return F.coalesce(starts | ((F.length(s) < 20) & any_of(low, V.SUMMARY_WORDS) & ~named), F.lit(False))
+
+    def tested(low: Column) -> Column:
+        starts = F.lit(False)
+        for word in V.SUMMARY_WORDS:
+            starts = starts | low.startswith(word)
+        return F.coalesce(starts | ((F.length(s) < 20) & any_of(low, V.SUMMARY_WORDS) & ~named), F.lit(False))
+
+    return let(F.lower(trim(s)), tested)
 
 
 def titles(line: Column) -> Column:

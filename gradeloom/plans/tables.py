@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many partitions as the session shuffles to: what follows costs much for few bytes, so adaptive execution isn't to join them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class for each supplier, a student for each of its orders, marks by line number from quantities."""
     mark = F.when(F.col("l_returnflag") != "R", F.round(F.col("l_quantity") * 0.4, 2))
@@ -109,7 +114,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(way == 3, name).otherwise(F.when(way == 2, F.concat_ws("  ", name, *shown)).otherwise(F.concat_ws(" | ", F.col("i").cast("string"), name, *shown)))
     item = F.struct(name.alias("name"), F.struct(mark(0).alias("fard1"), F.when(F.col("i") % 3 != 0, mark(1)).alias("fard2"), F.lit(None).cast("string").alias("fard3"), F.lit(None).cast("string").alias("fard4"), mark(2).alias("activities")).alias("marks"))
     rows = o.select("doc_id", "i", line.alias("line"), mark(0).alias("m"), item.alias("item"))
-    by = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line", "m", "item"))).alias("r"))
+    by = spread(rows, "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line", "m", "item"))).alias("r"))
     lines = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
     marks = F.array_join(F.transform("r", lambda x: x["m"]), "\n")
     header = F.lit("رقم | الاسم | الفرض 1 | الفرض 2 | الأنشطة\n")
