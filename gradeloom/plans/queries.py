@@ -330,8 +330,8 @@ def review_queue(spark, sf):
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 _GIVEN, _FAMILY = _LIST(D.GIVEN), _LIST(D.FAMILY)
 _CELLS = f"""
-WITH people AS (SELECT p_partkey // 40 AS sheet_id, p_partkey % 40 + 1 AS i, p_partkey // 40 % 4 AS way, lower(p_name || ' ' || p_type) AS latin,
-  {_GIVEN}[(p_partkey % 40 + 1 + p_partkey // 40) % 10 + 1] || ' ' || {_FAMILY}[(p_partkey % 40 + 1) * 3 % 8 + 1] AS arabic FROM part WHERE p_partkey // 40 % 4 <> 3 OR p_partkey % 40 < 2),
+WITH people AS (SELECT CASE WHEN p_partkey // 40 % 4 = 3 THEN 1000000000 + p_partkey // 2 ELSE p_partkey // 40 END AS sheet_id, CASE WHEN p_partkey // 40 % 4 = 3 THEN p_partkey % 2 ELSE p_partkey % 40 END + 1 AS i, p_partkey // 40 % 4 AS way, lower(p_name || ' ' || p_type) AS latin,
+  {_GIVEN}[(p_partkey % 40 + 1 + p_partkey // 40) % 10 + 1] || ' ' || {_FAMILY}[(p_partkey % 40 + 1) * 3 % 8 + 1] AS arabic FROM part),
 given AS (SELECT *, [((i * 7 + sheet_id * 3 + k * 5) % 81) / 4 for k in range(5)] AS m FROM people),
 body AS (SELECT sheet_id, i + CASE way WHEN 0 THEN 2 WHEN 2 THEN -1 ELSE 0 END AS row_idx, CASE way WHEN 0 THEN [i::VARCHAR, arabic, m[1]::VARCHAR, 'ok', m[2]::VARCHAR, ''] WHEN 2 THEN [i::VARCHAR, arabic, m[1]::VARCHAR, m[2]::VARCHAR, m[3]::VARCHAR, m[4]::VARCHAR, m[5]::VARCHAR] ELSE [i::VARCHAR, latin, m[1]::VARCHAR, m[2]::VARCHAR, m[3]::VARCHAR] END AS c,
   CASE way WHEN 0 THEN 'nsnsne' WHEN 2 THEN 'nsnnnnn' ELSE 'nsnnn' END AS kinds FROM given),
@@ -370,12 +370,12 @@ def sheet_structures_corrected(spark, sf):
     return s.select("sheet_id", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), "valid")
 
 
-@query("SELECT p_partkey // 40 AS sheet_id, CASE WHEN any_value(p_partkey // 40 % 4) = 0 THEN '3' END AS level, CASE WHEN any_value(p_partkey // 40 % 4) = 0 THEN 'class ' || (p_partkey // 40) END AS section FROM part GROUP BY p_partkey // 40")
+@query(_CELLS + "SELECT sheet_id, CASE WHEN way = 0 THEN '3' END AS level, CASE WHEN way = 0 THEN 'class ' || sheet_id END AS section FROM heads")
 def sheet_metadata(spark, sf):
     return H.sheet_metadata(D.cells(spark, sf))
 
 
-@query("SELECT s AS sheet_id, s % 4 = 0 AS official FROM (SELECT DISTINCT p_partkey // 40 AS s FROM part)")
+@query(_CELLS + "SELECT sheet_id, way = 0 AS official FROM heads")
 def official_layouts(spark, sf):
     return H.official_layout(D.cells(spark, sf))
 
