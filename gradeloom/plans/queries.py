@@ -175,6 +175,25 @@ def parsed_marks(spark, sf):
     return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw")).withColumn("mark", S.parse_mark(F.col("raw")))
 
 
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 5 WHEN 0 THEN printf('%02d100', CAST(l_quantity AS INT)) WHEN 1 THEN (CAST(l_quantity AS INT) % 10) || '100' WHEN 2 THEN printf('%02d500', CAST(l_quantity AS INT)) WHEN 3 THEN '108,00' ELSE replace(printf('%.2f', l_quantity / 2.5), '.', '٫') END AS raw FROM lineitem),
+f AS (SELECT *, CASE WHEN regexp_full_match(raw, '\d{2}100') THEN raw[1:2] || '.00' WHEN regexp_full_match(raw, '\d100') THEN '0' || raw[1:1] || '.00' WHEN regexp_full_match(raw, '\d{3}00') AND raw <> '10000' AND try_cast(raw[1:2] AS INT) <= 20 THEN raw[1:2] || '.00' WHEN raw = '108,00' THEN '10.00' ELSE replace(raw, '٫', '.') END AS fixed FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, raw, CASE WHEN try_cast(fixed AS DOUBLE) BETWEEN 0 AND 20 THEN round(try_cast(fixed AS DOUBLE), 2) END AS mark FROM f""")
+def misread_marks(spark, sf):
+    """Marks with a comma read as a digit, with a digit too many, and with an Arabic separator."""
+    q, form = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 5
+    raw = F.when(form == 0, F.format_string("%02d100", q)).when(form == 1, F.concat(q % 10, F.lit("100"))).when(form == 2, F.format_string("%02d500", q)).when(form == 3, "108,00").otherwise(F.replace(F.format_string("%.2f", F.col("l_quantity") / 2.5), F.lit("."), F.lit("٫")))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw")).withColumn("mark", S.parse_mark(F.col("raw")))
+
+
+_LABELS = [*V.LABEL_TO_TYPE, "unknown"]
+
+
+@query("WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LABELS) + f"][l_partkey % {len(_LABELS)} + 1] AS label FROM lineitem), m(label, mark_type) AS (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in V.LABEL_TO_TYPE.items()) + ") SELECT l_orderkey, l_linenumber, l_partkey, label, mark_type FROM k LEFT JOIN m USING (label)")
+def labelled_mark_types(spark, sf):
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS)).cast("int"))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", label.alias("label")).withColumn("mark_type", S.label_to_mark_type(F.col("label")))
+
+
 @query(r"SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')) AS name_key, array_to_string(list_sort(string_split(trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')), ' ')), ' ') AS sorted, regexp_replace(c_name, '[#:*?<>|/]+', '#', 'g') AS label FROM customer")
 def normalized_names(spark, sf):
     c = D.table(spark, sf, "customer").withColumn("name_key", S.normalize_name(F.col("c_name")))
