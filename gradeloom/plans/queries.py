@@ -565,3 +565,11 @@ def streamed_students(spark, sf):
     D.replies(spark, sf).write.json(f"{folder}/replies")
     N.process_replies(spark, f"{folder}/replies", f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out/students").drop("batch").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey // 30 AS doc_id, o_orderkey % 30 + 1 AS i, {_GIVEN}[o_custkey % 10 + 1] || ' ' || {_FAMILY}[(o_orderkey % 30 + 1) % 8 + 1] AS name, [floor(o_totalprice / k) % 81 / 4 for k in [1, 2, 3]] AS m FROM orders)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS number, name, m[1] AS fard1, m[2] AS fard2, NULL::DOUBLE AS fard3, NULL::DOUBLE AS fard4, m[3] AS activities,
+false AS u_name, false AS u_fard1, false AS u_fard2, false AS u_fard3, false AS u_fard4, false AS u_activities FROM o""")
+def students_under_titles(spark, sf):
+    """Marks that stand under their titles are taken from there and are certain."""
+    return R.students_from_text(D.titled_replies(spark, sf))

@@ -128,6 +128,16 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("doc_id", text.alias("text"), payload.alias("payload"))
 
 
+def titled_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): marksheets of 30 orders each, every mark under its title."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / PER_REPLY).alias("doc_id"), (F.col("o_orderkey") % PER_REPLY + 1).alias("i"), F.col("o_totalprice").alias("p"), F.col("o_custkey").alias("c"))
+    name = F.concat_ws(" ", F.get(F.array(*map(F.lit, GIVEN)), (F.col("c") % len(GIVEN)).cast("int")), F.get(F.array(*map(F.lit, FAMILY)), (F.col("i") % len(FAMILY)).cast("int")))
+    mark = lambda k: F.replace(F.format_string("%.2f", (F.floor(F.col("p") / (k + 1)) % 81 / 4).cast("double")), F.lit("."), F.lit(","))
+    rows = spread(o.select("doc_id", "i", F.concat_ws(" | ", name, mark(0), mark(1), mark(2)).alias("line")), "doc_id")
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("الاسم | الفرض1 | الفرض2 | الأنشطة\n"), lines).alias("text"))
+
+
 def as_usage(events: DataFrame) -> DataFrame:
     """Rows of the events table, batch or stream, as usage events."""
     kinds = {"view": "image_uploaded", "click": "ocr_started", "purchase": "marks_insertion_completed", "signup": "ocr_completed", "error": "ocr_failed"}
