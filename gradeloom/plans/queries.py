@@ -573,3 +573,20 @@ false AS u_name, false AS u_fard1, false AS u_fard2, false AS u_fard3, false AS
 def students_under_titles(spark, sf):
     """Marks that stand under their titles are taken from there and are certain."""
     return R.students_from_text(D.titled_replies(spark, sf))
+
+
+@query(_CELLS + "SELECT sheet_id::VARCHAR AS sheet_id, row_idx, col_idx, CASE kind WHEN 'n' THEN 'number' WHEN 's' THEN 'string' ELSE 'empty' END AS kind, str, CASE WHEN kind = 'n' THEN str::DOUBLE END AS num FROM cells")
+def cells_from_files(spark, sf):
+    """Sheets written as cells and read again."""
+    path = I.scratch_folder(spark, "cells")
+    I.write_cells(D.cells(spark, sf), path)
+    return I.read_cells(spark, path)
+
+
+@query(_EDITS + "SELECT class_id, number, mark_type, mark, coalesce(uncertain, false) AS uncertain FROM edited")
+def corrections_from_files(spark, sf):
+    """Marks corrected by a feed of JSON lines."""
+    path = I.scratch_folder(spark, "corrections")
+    D.corrections(spark, sf).write.json(path)
+    long = T.long_marks(*_class(spark, sf)).withColumn("uncertain", F.coalesce(F.col("mark") < 4, F.lit(False)))
+    return M.apply_corrections(long, I.read_corrections(spark, path))
