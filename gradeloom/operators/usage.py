@@ -19,9 +19,18 @@ def known_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(*V.USAGE_EVENTS))
 
 
+def uploads_by_key(events: DataFrame) -> DataFrame:
+    """(key, uploads): the recorded uploads of every key."""
+    return events.groupBy("key").agg(F.count_if(F.col("event_type") == "image_uploaded").alias("uploads"))
+
+
 def quota_report(events: DataFrame, limits: DataFrame, warn_below: int = 5) -> DataFrame:
     """(key, uploads, upload_limit, remaining, percentage, state): state is blocked, warning (up to ``warn_below`` left) or allowed."""
-    used = events.groupBy("key").agg(F.count_if(F.col("event_type") == "image_uploaded").alias("uploads"))
+    return quota_states(uploads_by_key(events), limits, warn_below)
+
+
+def quota_states(used: DataFrame, limits: DataFrame, warn_below: int = 5) -> DataFrame:
+    """The quota report from uploads already counted (key, uploads); a key of ``limits`` without a count has none."""
     joined = limits.join(used, "key", "left").select("key", F.coalesce("uploads", F.lit(0)).alias("uploads"), "upload_limit")
     left = F.greatest(F.col("upload_limit") - F.col("uploads"), F.lit(0)).cast("long")
     share = F.coalesce(F.round(F.try_divide(F.col("uploads") * F.lit(100.0), F.col("upload_limit")), 2), F.lit(100.0))

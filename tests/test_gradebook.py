@@ -199,6 +199,31 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "quota")).first()["state"] == "blocked"
 
 
+def test_quotas_count_on_over_restarts(spark, tmp_path):
+    from gradeloom.streaming import incremental as N
+
+    folder = tmp_path / "events"
+    folder.mkdir()
+    limits = spark.createDataFrame([("a", 4), ("b", 10), ("c", 1)], "key string, upload_limit int")
+    events = []
+
+    def arrive(name, rows):
+        events.extend(rows)
+        (folder / name).write_text("".join(json.dumps({"key": k, "event_type": e, "ts": "2024-01-01T00:00:00Z"}) + "\n" for k, e in rows))
+        assert N.follow_quotas(spark, str(folder), str(tmp_path / "log"), limits, str(tmp_path / "quota"), str(tmp_path / "state")).awaitTermination(120)
+        report = N.latest_quotas(spark, str(tmp_path / "log"), limits)
+        plain = U.quota_report(spark.createDataFrame(events, "key string, event_type string"), limits)
+        assert sorted(report.collect()) == sorted(plain.collect())
+        return {r["key"]: (r["uploads"], r["state"]) for r in report.collect()}
+
+    assert arrive("1.json", [("a", "image_uploaded"), ("a", "image_uploaded"), ("b", "ocr_started"), ("z", "image_uploaded")]) == {"a": (2, "warning"), "b": (0, "allowed"), "c": (0, "warning")}
+    assert arrive("2.json", [("a", "image_uploaded"), ("a", "image_uploaded"), ("c", "image_uploaded")]) == {"a": (4, "blocked"), "b": (0, "allowed"), "c": (1, "blocked")}
+    # a later batch writes the keys that it changed, no others
+    rows = spark.read.parquet(str(tmp_path / "quota"))
+    last = rows.agg({"batch": "max"}).first()[0]
+    assert {r["key"] for r in rows.where(rows["batch"] == last).collect()} == {"a", "c"}
+
+
 def test_counts_grow_over_restarts(spark, tmp_path):
     from gradeloom.streaming import incremental as N
 
