@@ -126,12 +126,12 @@ TEMPLATES = (
     ("custom-school-format", 2, 0, {"fard1": 3, "fard2": 4, "activities": 5}, 2),
 )
 
-# Recommendation texts.
+# Recommendations in words of our own, by rule.
 ADVICE = {
-    "low_pass": "نسبة النجاح العامة منخفضة. قد تحتاج لتقوية الدعم للتلاميذ ذوي النتائج الضعيفة.",
-    "low_average": "متوسط %s أقل من المعدل (10).",
-    "spread": "تشتت عالٍ في %s (انحراف معياري %.2f). قد توجد فوارق كبيرة بين التلاميذ.",
-    "missing": "نسبة القيم المفقودة مرتفعة في %s. تحقق من اكتمال الإدخال أو وضوح الصورة.",
+    "low_pass": "أقل من ستين في المئة من النقط ناجحة: يُستحسن تنظيم حصص دعم لهذا القسم.",
+    "low_average": "معدل القسم في %s دون عشرة.",
+    "spread": "النقط في %s متباعدة: الانحراف المعياري %.2f، فقد يحتاج القسم إلى عمل بالمجموعات.",
+    "missing": "أكثر من عُشر النقط غائب في %s: يرجى مراجعة ما أُدخل.",
 }
 
 # Usage events and upload gates.
