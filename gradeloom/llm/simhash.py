@@ -429,7 +429,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each of the ``similar_groups``: that with the smallest doc_id (of repeated ids in a group the one row with the smallest text).
+    """``docs`` with one document of each of the ``similar_groups``: that with the smallest doc_id (of repeated ids in a group the one row with the smallest text, and of equal texts that whose columns hash lowest, so reruns agree).
 
     Rows of one doc_id whose texts are in different groups stand for each of them.
     Rows whose doc_id is null can't be named as one of a group; they stay.
@@ -444,11 +444,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
 
     ids = docs.where(F.col("doc_id").isNotNull())
     named = ids.mapInArrow(scan, StructType([*docs.schema.fields, StructField("__node", LongType())])).join(kept, ["doc_id", "__node"])
-    first = F.row_number().over(_by_component())
+    first = F.row_number().over(_by_component(columns))
     return named.withColumn("__place", first).where("__place = 1").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def _by_component():
+def _by_component(columns: list[str]):
     from pyspark.sql import Window
 
-    return Window.partitionBy("__component").orderBy("text")
+    return Window.partitionBy("__component").orderBy("text", F.xxhash64(F.to_json(F.struct(*[c for c in columns if c != "text"]))))
