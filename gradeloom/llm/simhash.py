@@ -366,13 +366,16 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     stars = cut(shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
     first = cut(verified(stars, sets, bound), "similar-first")
     open_rows = cut(apart(shared.drop("head"), first).join(sets.select("node", *PARITY), "node"), "similar-open")
+    drop_cut(shared)
     # then one text of each key, another one for each, so that a group that the first heads did not join falls together
     ranked = open_rows.withColumn("rank", F.xxhash64("key", "node"))
     tops = ranked.groupBy("key").agg(F.min("rank").alias("rank"))
     pairs = open_pairs(open_rows, ranked.join(tops, ["key", "rank"]).drop("rank")).where(may_be_alike(bound) & few_differences(bound))
     more = cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"), "similar-more")
     first = first.unionByName(cut(verified(more, sets, bound), "similar-again"))
-    open_rows = cut(apart(open_rows.drop("component"), first), "similar-open")
+    still_open = cut(apart(open_rows.drop("component"), first), "similar-open")
+    drop_cut(open_rows)
+    open_rows = still_open
     rest = open_pairs(open_rows, open_rows).where((F.col("node") < F.col("other_node")) & may_be_alike(bound) & few_differences(bound))
     left = ordered(rest).join(stars.unionByName(more), ["a", "b"], "left_anti")
     return first.unionByName(cut(verified(left, sets, bound), "similar-second"))
