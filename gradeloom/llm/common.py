@@ -68,6 +68,9 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+FEW_EDGES = 100_000  # no more rows than these in one task are no hub
+
+
 def connected_components(edges: DataFrame, what: str = "components", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, as (node, component): component is its smallest node.
 
@@ -76,16 +79,18 @@ def connected_components(edges: DataFrame, what: str = "components", max_rounds:
     no row; no edges give no rows. Alternates large-star and small-star steps
     until the edges stay the same: each round links every neighbour of a node to
     the smallest one, so a long chain shrinks by half. A node with very many
-    links is reduced by ``min`` with map-side combining, and its links join that
-    minimum, one row, in a join whose large partitions adaptive execution splits
-    (spark.sql.adaptive.skewJoin). Edges stay distributed and each round is
-    written to the shared folder.
+    links is reduced by ``min`` with map-side combining. Of more than FEW_EDGES
+    edges the minima are written before the links join them: both sides of that
+    join are then read from files and dealt for it alone, so adaptive execution
+    splits a hub's links over tasks (spark.sql.adaptive.skewJoin) or broadcasts
+    minima whose measured size is small. Edges stay distributed and each round
+    is written to the shared folder.
     """
     kind = edges.schema["a"].dataType
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = settled(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{what}-least")
         seen = both.where(F.col("b") > F.col("a")) if large else both
         out = seen.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
@@ -97,11 +102,22 @@ def connected_components(edges: DataFrame, what: str = "components", max_rounds:
         seen = Observation()
         return cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), what), {"n": seen.get.get("n", 0), "h": seen.get.get("h")}
 
+    held: list[DataFrame] = []  # written, and no longer read once the round is written
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        """Written, if the round's edges are many."""
+        if seen["n"] <= FEW_EDGES:
+            return df
+        held.append(cut(df, name))
+        return held[-1]
+
     now, seen = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds if seen["n"] else 0):
         before, last = now, seen
-        now, seen = written(star(star(before, True), False))
-        drop_cut(before)
+        now, seen = written(star(settled(star(before, True), f"{what}-half"), False))
+        for old in (before, *held):
+            drop_cut(old)
+        held.clear()
         if seen == last:
             break
     else:

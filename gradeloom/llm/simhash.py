@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -437,21 +437,17 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     Rows of one doc_id whose texts are in different groups stand for each of them.
     Rows whose doc_id is null can't be named as one of a group; they stay.
     """
-    columns = docs.columns
-    kept = grouped_texts(docs, similarity, shingle).where("doc_id = component_id").select("doc_id", F.col("node").alias("__node"), F.col("component").alias("__component")).distinct()
+    kept = grouped_texts(docs, similarity, shingle).where("doc_id = component_id").select("doc_id", "node", "component").distinct()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [words_and_node(t.as_py())[1] for t in batch.column(columns.index("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*columns, "__node"])
-
-    ids = docs.where(F.col("doc_id").isNotNull())
-    named = ids.mapInArrow(scan, StructType([*docs.schema.fields, StructField("__node", LongType())])).join(kept, ["doc_id", "__node"])
-    first = F.row_number().over(_by_component(columns))
-    return named.withColumn("__place", first).where("__place = 1").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def _by_component(columns: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__component").orderBy("text", F.xxhash64(F.to_json(F.struct(*[c for c in columns if c != "text"]))))
+            nodes = [words_and_node(t.as_py())[1] for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], names=["row", "doc_id", "node"])
+
+    # a row is held whole in one struct, so that no name of its columns meets ours
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct("*").alias("row"), "doc_id", "text")
+    schema = StructType([rows.schema["row"], rows.schema["doc_id"], StructField("node", LongType())])
+    named = rows.mapInArrow(scan, schema).join(kept, ["doc_id", "node"])
+    tie = F.xxhash64(F.to_json(F.struct(*(F.col("row")[c] for c in docs.columns if c != "text"))))
+    first = F.row_number().over(Window.partitionBy("component").orderBy("row.text", tie))
+    return named.withColumn("place", first).where("place = 1").select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

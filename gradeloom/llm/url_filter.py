@@ -61,11 +61,24 @@ def url_key(url: Column) -> Column:
 class Links(HTMLParser):
     """The canonical links and refreshes of a page, as they are written, and its base."""
 
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea")  # tags inside these are text
+
     def __init__(self) -> None:
         super().__init__()
         self.base: str | None = None
         self.found: list[str] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The end of a ``<![`` of any kind; browsers take it as a comment that ends with the next >."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """``<title/>`` opens a title all the same."""
+        self.handle_starttag(tag, attrs)
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = {k: v or "" for k, v in reversed(attrs)}  # of a repeated attribute the first counts
         if tag == "base" and self.base is None and given.get("href", "").strip():

@@ -296,6 +296,52 @@ def test_links_are_read_as_a_browser_reads_them(spark):
     assert verdicts[13] == "allow"
 
 
+def test_bad_html_stops_no_page(spark):
+    link = "<link rel=canonical href=http://www.net/es/>"
+    pages = [
+        (1, "http://a.org/1", "<p>refresh</p><![foo[x]]>" + link),
+        (2, "http://a.org/2", "<![%foo;[ ]]>" + link),
+        (3, "http://a.org/3", "<![CDATA[ > " + link),
+        (4, "http://a.org/4", "<!ELEMENT a [<!b" + link),  # so does this one
+        (5, "http://a.org/5", "<![" + link),  # the mark ends with the link's own >
+        (6, "http://a.org/6", "canonical <!"),
+        (7, "http://a.org/7", "</ canonical <a b=' <![if"),
+        (8, "http://a.org/8", f"<textarea>{link}</textarea>"),
+        (9, "http://a.org/9", f"<title>{link}</title>"),
+        (10, "http://a.org/10", f"<title/>{link}</title>"),
+        (11, "http://a.org/11", f"<textarea><!-- </textarea>{link} -->"),
+        (12, "http://a.org/12", f"<title>x</title><textarea>y</textarea >{link}"),
+        (13, "http://a.org/13", f"<textarea>{link}"),
+        (14, "http://a.org/14", "<link rel=canonical href='http://[x/'><link rel=canonical href=''>"),
+        (15, "http://a.org/15", "<?refresh ?>" + link),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    verdicts = dict(pairs(url_filter.judge_urls(df, Q.URL_RULES), "page_id", "verdict"))
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 11, 12, 15}
+
+
+def test_verdicts_by_given_links_equal_sql(spark):
+    """Pages made of the given ones, each with a link to another; SQL takes the links as given."""
+    import duckdb
+
+    pages = [(k, f"http://h{k % 40}.{('org', 'net', 'com', 'info')[k % 4]}/{('es', 'en', 'x')[k % 3]}/{k}") for k in range(400)]
+    links = [(k, k + 6) for k in range(394) if k % 12 < 6 and k != 15] + [(9, 2)]
+    html = {a: f"<head><link href='{pages[b][1]}' rel=canonical></head>" for a, b in links}
+    df = spark.createDataFrame([(k, u, html.get(k)) for k, u in pages], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.judge_urls(df, Q.URL_RULES).collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages AS SELECT unnest(?) AS page_id, unnest(?) AS url", [[k for k, _ in pages], [u for _, u in pages]])
+    db.execute("CREATE TABLE links AS SELECT unnest(?) AS a, unnest(?) AS b", [[a for a, _ in links], [b for _, b in links]])
+    want = db.execute("""
+WITH RECURSIVE p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, substr(url, 8 + strpos(substr(url, 8), '/') - 1) AS path FROM pages),
+rules(h, q, d) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+own AS (SELECT page_id, host, path, arg_max(h || q, length(h || q)) FILTER (h IS NOT NULL) AS rule, arg_max(d, length(h || q)) FILTER (h IS NOT NULL) AS d FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT page_id AS a, page_id AS b FROM p UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+shared AS (SELECT a, bool_or(d = 'allow') AS yes, bool_or(d = 'block') AS no FROM reach JOIN own ON b = page_id GROUP BY a)
+SELECT page_id, host, path, rule, coalesce(d, CASE WHEN yes THEN 'allow' WHEN no THEN 'block' END, 'allow') FROM own JOIN shared ON a = page_id ORDER BY 1""").fetchall()
+    assert got == want and len({r[4] for r in got if r[3] is None}) == 2
+
+
 def test_long_chains_of_pages_decide_verdicts(spark):
     pages = [(k, f"http://c{k % 7}.org/p{k}", f"<link rel=canonical href=http://c{(k + 1) % 7}.org/p{k + 1}>") for k in range(300) if k != 150]
     pages += [(1000, "http://c6.org/p300", "<meta http-equiv=refresh content='0;url=http://x.net/fr/'>"), (1001, "http://star.org/", "".join(f"<link rel=canonical href=http://s{k}.org/>" for k in range(200)))]
@@ -338,6 +384,35 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_a_hub_is_split_over_tasks(spark):
+    """The join of links and minima reads both sides from exchanges of its own, so adaptive execution splits a hub."""
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.files.maxPartitionBytes": "256k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList().size()
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(1, 400_000).selectExpr("0L as b", "id as a").union(spark.range(500_000, 501_000).selectExpr("id as b", "id + 1 as a"))
+        got = common.connected_components(edges)
+        assert got.where("component = 0").count() == 400_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(seen, store.executionsList().size())]
+    assert any("SortMergeJoin(skew=true)" in p for p in plans)
+
+
+def test_keep_one_bears_any_column(spark):
+    names = ["doc_id", "text", "__node", "__component", "__place", "node", "component", "place", "row", "a.b"]
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, words, 1, 2, 77, 3, 4, 5, "x", 8), (2, words + " more", 1, 2, 77, 3, 4, 5, "x", 8), (3, "other", None, None, 78, 0, 0, 0, None, 9), (None, words, 9, 9, 9, 9, 9, 9, "z", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __node int, __component int, __place int, node int, component int, place int, row string, `a.b` int")
+    got = simhash.keep_one(df)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 # packing
 
 
