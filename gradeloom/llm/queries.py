@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, kneser_ney, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, url_filter, warc
+from . import conversation_trie, fingerprints, kneser_ney, lexical_search, mixing, packing, quality_classifier, quality_rules, sanitiser, simhash, toxicity, url_filter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -62,5 +62,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op7_quality_lm, op8_warc, op9_lm_score, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+def op11_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitiser.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_fingerprints, op4_url_filter, op5_packing, op6_simhash, op7_quality_lm, op8_warc, op9_lm_score, op10_quality_rules, op11_sanitiser, op12_lexical_search, op13_conversation_trie)}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_warc": warc.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
