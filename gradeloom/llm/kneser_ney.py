@@ -10,10 +10,11 @@ mark. Words are 64-bit hashes. Counting goes in three shuffles of packed arrays
 2. word -> number of distinct contexts (the continuation counts), by word.
 3. word -> plain count, by word.
 
-Each shard's task writes sorted arrays to the shared folder: bigram keys with
-counts, context keys with their mass left for the lower order, word keys with
-count and probability. Workers map those files and search them with sorted
-queries; files are written under a temporary name and renamed, so repeated
+Each shard's task writes sorted arrays to the shared folder, a file for each kind:
+bigram keys with counts, context keys with their mass left for the lower order,
+word keys with count and probability. Workers map those files, at most MAPS at a
+time and without an open file for any, and search them with sorted queries, a
+shard after the other; files are written under a temporary name and renamed, so repeated
 tasks do no harm. Nothing is pruned.
 
 p(w | h) = (c(h w) - D(c)) / c(h) + left(h) p(w), where left(h) is the mass of
@@ -23,7 +24,12 @@ with the uniform 1 / (V + 1), the share of an unknown word.
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+import shutil
+import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +46,7 @@ START, END = np.uint64(1), np.uint64(2)
 ODD = np.uint64(0x9E3779B97F4A7C15)  # splitmix64's increment and multiplier
 MUL = np.uint64(0xBF58476D1CE4E5B9)
 COMBINE_TOKENS = 4_000_000  # tokens that a task holds before it combines them
-SHARD_BYTES = 24_000_000  # of text, about four million tokens
+SHARD_BYTES = 64_000_000  # of text, about eleven million tokens
 HOT_WORDS = 65_536  # spread contexts, at most
 
 
@@ -135,13 +141,25 @@ class Model:
     hot_kinds: np.ndarray = field(repr=False)  # per hot context: followers seen once, twice, more often
 
 
-def _store(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array file whole: under a name of this attempt, then renamed."""
-    target = f"{folder}/{name}.npy"
+def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays as one file, whole: under a name of this attempt, then renamed. A line of JSON, then the arrays, each at a multiple of 64 bytes."""
+    head, at = {}, 0
+    for key, array in arrays.items():
+        head[key] = (array.dtype.str, array.shape, at)
+        at += -(-array.nbytes // 64) * 64
+    line = json.dumps(head).encode()
+    line += b" " * (-(len(line) + 1) % 64) + b"\n"
+
+    def write(f) -> None:
+        f.write(line)
+        for array in arrays.values():
+            f.write(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 64))
+
+    target = f"{folder}/{name}"
     if (path := local_path(target)) is not None:
         part = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
         with open(part, "wb") as f:
-            np.save(f, array)
+            write(f)
         os.replace(part, path)
         return
     from pyarrow import fs
@@ -149,27 +167,27 @@ def _store(folder: str, name: str, array: np.ndarray) -> None:
     store, path = fs.FileSystem.from_uri(target)
     part = f"{path}.{os.urandom(6).hex()}"
     with store.open_output_stream(part) as f:
-        np.save(f, array)
+        write(f)
     store.move(part, path)
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """An array file, memory-mapped where the shared folder is a mounted path, else from an unnamed local copy."""
-    target = f"{folder}/{name}.npy"
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """A file of arrays, memory-mapped where the shared folder is a mounted path, else from an unnamed local copy. The map holds no file open."""
+    target = f"{folder}/{name}"
     if (path := local_path(target)) is not None:
-        return np.load(path, mmap_mode="r") if os.path.getsize(path) > 256 else np.load(path)
-    import shutil
-    import tempfile
+        f = open(path, "rb")
+    else:
+        from pyarrow import fs
 
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(target)
-    copy = tempfile.TemporaryFile()
-    with store.open_input_stream(path) as f:
-        shutil.copyfileobj(f, copy)
-    copy.seek(0)
-    shape = np.lib.format.read_magic(copy) and np.lib.format.read_array_header_1_0(copy)
-    return np.memmap(copy, dtype=shape[2], mode="r", offset=copy.tell(), shape=shape[0]) if shape[0][0] else np.empty(0, shape[2])
+        store, path = fs.FileSystem.from_uri(target)
+        f = tempfile.TemporaryFile()
+        with store.open_input_stream(path) as given:
+            shutil.copyfileobj(given, f)
+        f.flush()
+    with f:
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    end = whole.find(b"\n") + 1
+    return {key: np.frombuffer(whole, np.dtype(kind), int(np.prod(shape)), end + at).reshape(shape) for key, (kind, shape, at) in json.loads(whole[:end]).items()}
 
 
 def _word_rows(docs: DataFrame, shards: int) -> DataFrame:
@@ -260,7 +278,7 @@ def count(docs: DataFrame) -> Model:
         top = np.argsort(-counts, kind="stable")[:64]  # of a shard's words these may be hot; which ones are changes no score
         return pd.DataFrame({"shard": [key[0]], "words": [keys.tobytes()], "counts": [pack_counts(counts)], "types": [len(keys)], "tokens": [int(counts.sum())], "ends": [int(counts[keys == END].sum())], "top": [keys[top].view(np.int64)], "top_counts": [counts[top].astype(np.int64)]})
 
-    tallied = cut(words.repartition(shards, "shard").groupBy("shard").applyInPandas(tally, "shard int, words binary, counts binary, types long, tokens long, ends long, top array<long>, top_counts array<long>"), "lm-tally")
+    tallied = cut(words.repartitionById(shards, "shard").groupBy("shard").applyInPandas(tally, "shard int, words binary, counts binary, types long, tokens long, ends long, top array<long>, top_counts array<long>"), "lm-tally")
     drop_cut(words)
     sums = tallied.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends")).first()
     tokens, types, texts = sums["tokens"] or 0, sums["types"] or 0, sums["ends"] or 0
@@ -277,15 +295,12 @@ def count(docs: DataFrame) -> Model:
         name = f"{key[0]:06d}"
         pair = mix(context, word)
         order = np.argsort(pair)
-        _store(folder, f"pair-{name}", pair[order])
-        _store(folder, f"pair-count-{name}", total[order].astype(np.uint32 if total.max(initial=0) < 2**32 else np.uint64))
+        _store(folder, f"pair-{name}", {"keys": pair[order], "count": total[order].astype(np.uint32 if total.max(initial=0) < 2**32 else np.uint64)})
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         kinds = [np.add.reduceat((total == k) if k < 3 else (total >= 3), first, dtype=np.int64) for k in (1, 2, 3)]
         sizes = np.add.reduceat(total, first)
         where = np.isin(context[first], hot)
-        _store(folder, f"context-{name}", context[first][~where])
-        _store(folder, f"context-count-{name}", sizes[~where].astype(np.int64))
-        _store(folder, f"context-kinds-{name}", np.stack(kinds, 1)[~where].astype(np.uint32))
+        _store(folder, f"context-{name}", {"keys": context[first][~where], "count": sizes[~where].astype(np.int64), "kinds": np.stack(kinds, 1)[~where].astype(np.uint32)})
         once = combined(word)
         by = (once[0] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(by, kind="stable")
@@ -298,7 +313,7 @@ def count(docs: DataFrame) -> Model:
         return pd.concat([head, out.assign(hot=None, kind1=None, kind2=None, kind3=None)], ignore_index=True)
 
     longs = ", ".join(f"{c} array<long>" for c in ("n", "hot", "kind1", "kind2", "kind3"))
-    followed = cut(_pair_rows(docs, shards, hot).repartition(shards, "shard").groupBy("shard").applyInPandas(store_pairs, f"shard int, words binary, counts binary, {longs}"), "lm-pairs")
+    followed = cut(_pair_rows(docs, shards, hot).repartitionById(shards, "shard").groupBy("shard").applyInPandas(store_pairs, f"shard int, words binary, counts binary, {longs}"), "lm-pairs")
     heads = followed.where("shard = -1")
     *n, pairs = (x or 0 for x in heads.agg(*[F.sum(F.get("n", F.lit(k))).alias(f"n{k}") for k in range(5)]).first())
     kinds = np.zeros((len(hot), 3), dtype=np.int64)
@@ -315,7 +330,7 @@ def count(docs: DataFrame) -> Model:
         keys, counts = followers(group)
         return pd.DataFrame({"shard": [key[0]], "words": [keys.tobytes()], "counts": [pack_counts(counts)], "n": [[int((counts == k).sum()) for k in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum())]]})
 
-    merged = cut(followed.where("shard >= 0").select("shard", "words", "counts").repartition(shards, "shard").groupBy("shard").applyInPandas(merge, "shard int, words binary, counts binary, n array<long>"), "lm-followers")
+    merged = cut(followed.where("shard >= 0").select("shard", "words", "counts").repartitionById(shards, "shard").groupBy("shard").applyInPandas(merge, "shard int, words binary, counts binary, n array<long>"), "lm-followers")
     drop_cut(followed)
     m = merged.agg(*[F.sum(F.get("n", F.lit(k))).alias(f"m{k}") for k in range(6)]).first()
     m = [x or 0 for x in m]
@@ -330,9 +345,7 @@ def count(docs: DataFrame) -> Model:
         name = f"{int(contexts['shard'].iloc[0]):06d}"
         own, held = followers(plain)
         assert np.array_equal(own, keys)
-        _store(folder, f"word-{name}", keys)
-        _store(folder, f"word-count-{name}", held.astype(np.int64))
-        _store(folder, f"word-p-{name}", p.astype(np.float64))
+        _store(folder, f"word-{name}", {"keys": keys, "count": held.astype(np.int64), "p": p.astype(np.float64)})
         return pd.DataFrame({"words": [len(keys)]})
 
     stored = tallied.select("shard", "words", "counts").groupBy("shard").cogroup(merged.select("shard", "words", "counts").groupBy("shard")).applyInPandas(store_words, "words long")
@@ -342,19 +355,25 @@ def count(docs: DataFrame) -> Model:
     return Model(folder, shards, tokens, types, pairs, discount, lower, lower_left, hot, hot_count, kinds)
 
 
+MAPS = 256  # files that a worker keeps mapped
+
+
 class Lookup:
-    """A worker's view of a stored model: mapped arrays, opened when first asked for."""
+    """A worker's view of a stored model: mapped files, opened when first asked for, the least recently used given up beyond MAPS."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
+        self.model, self.open = model, OrderedDict()
 
-    def array(self, kind: str, shard: int) -> np.ndarray | None:
+    def arrays(self, kind: str, shard: int) -> dict[str, np.ndarray] | None:
         name = f"{kind}-{shard:06d}"
         if name not in self.open:
             try:
                 self.open[name] = _mapped(self.model.folder, name)
             except FileNotFoundError:  # no word or context fell into this shard
                 self.open[name] = None
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
         return self.open[name]
 
     def search(self, kind: str, keys: np.ndarray, shard: np.ndarray, fields: tuple[str, ...], shapes: tuple[int, ...] = (1, 1)) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -364,15 +383,15 @@ class Lookup:
         values = [np.zeros((len(keys), w)) for w in shapes[: len(fields)]]
         shards, starts = np.unique(shard[order], return_index=True)
         for s, a, b in zip(shards.tolist(), starts, [*starts[1:], len(order)]):
-            stored = self.array(kind, s)
-            if stored is None or not len(stored):
+            held = self.arrays(kind, s)
+            if held is None or not len(held["keys"]):
                 continue
-            rows = order[a:b]
+            stored, rows = held["keys"], order[a:b]
             place = np.minimum(np.searchsorted(stored, keys[rows]), len(stored) - 1)
             same = stored[place] == keys[rows]
             found[rows] = same
             for value, name in zip(values, fields):
-                got = np.asarray(self.array(f"{kind}-{name}", s)[place[same]])
+                got = held[name][place[same]]
                 value[rows[same]] = got[:, None] if got.ndim == 1 else got
         return found, values
 

@@ -944,7 +944,7 @@ def test_counts_pack():
 
 
 def test_queries_are_registered():
-    assert [re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES] == [str(k) for k in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in Q.QUERIES] == [str(k) for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -982,3 +982,38 @@ def test_pipeline(spark, sf):
     assert made <= least * 1.05 + 2
     assert json.dumps([n for n, _ in C.STAGES])
     assert C.run(spark, sf).count() == len(packed)
+
+
+FEW_FILES = """
+import os, resource, sys
+resource.setrlimit(resource.RLIMIT_NOFILE, (1024, 1024))
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "200").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+from gradeloom.llm import kneser_ney
+docs = spark.read.parquet(sys.argv[2] + "/documents.parquet")
+print("scored", kneser_ney.judge(docs).where("score < 0").count() == docs.count())
+"""
+
+
+def test_scoring_needs_few_open_files(sf, tmp_path):
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", FEW_FILES, f"file://{tmp_path}", sf], capture_output=True, text=True, timeout=600)
+    assert "scored True" in run.stdout, run.stderr[-2000:]
+
+
+def test_a_lookup_keeps_few_maps_and_no_files(spark, tmp_path):
+    import os
+
+    for k in range(700):
+        kneser_ney._store(str(tmp_path), f"word-{k:06d}", {"keys": np.arange(k, k + 3, dtype=np.uint64), "p": np.full((3, 2), k / 7), "none": np.empty(0)})
+    model = kneser_ney.Model(str(tmp_path), 700, 1, 1, 1, np.zeros(4), np.zeros(4), 0.0, np.empty(0), np.empty(0), np.empty(0))
+    lookup, before = kneser_ney.Lookup(model), len(os.listdir("/proc/self/fd"))
+    for k in (*range(700), *range(700)):
+        held = lookup.arrays("word", k)
+        assert held["keys"].tolist() == [k, k + 1, k + 2] and held["p"].shape == (3, 2) and held["p"][2, 1] == k / 7 and not len(held["none"])
+    assert lookup.arrays("word", 700) is None
+    assert len(os.listdir("/proc/self/fd")) <= before + 2
+    with open("/proc/self/maps") as maps:
+        assert sum(f"{tmp_path}/word-" in x for x in maps) <= kneser_ney.MAPS

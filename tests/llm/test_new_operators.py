@@ -10,7 +10,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import oracle
 import pytest
 
 from gradeloom.llm import conversation_trie, lexical_search, sanitiser
@@ -286,11 +285,6 @@ def test_parentheses_close_where_they_should():
             assert q == p + int(np.flatnonzero(excess == 0)[0])
 
 
-@pytest.mark.parametrize("name", ["op12_lexical_search", "op13_conversation_trie"])
-def test_queries_equal_their_sql(spark, sf, name):
-    assert oracle.difference(Q.QUERIES[name](spark, sf), Q.ORACLES[name], sf) == ""
-
-
 def test_sanitiser_query_equals_a_plain_version(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in Q.table(spark, sf, "documents").collect()]
     assert rows(Q.op11_sanitiser(spark, sf), *COLUMNS) == sorted(plain_judgement(docs)[0], key=repr)
