@@ -590,3 +590,71 @@ def corrections_from_files(spark, sf):
     D.corrections(spark, sf).write.json(path)
     long = T.long_marks(*_class(spark, sf)).withColumn("uncertain", F.coalesce(F.col("mark") < 4, F.lit(False)))
     return M.apply_corrections(long, I.read_corrections(spark, path))
+
+
+_UPLOADS = """WITH once AS (SELECT user_id::VARCHAR AS key, event_id::VARCHAR AS event_id, ts, user_id % 40 AS upload_limit FROM events WHERE event_type = 'view'),
+placed AS (SELECT *, upload_limit - row_number() OVER (PARTITION BY key ORDER BY ts, event_id) + 1 AS left_ FROM once),
+decided AS (SELECT key, event_id, ts, CASE WHEN left_ <= 0 THEN 'blocked' WHEN left_ <= 5 THEN 'warned' ELSE 'allowed' END AS decision, greatest(left_ - 1, 0) AS remaining, left_ = 1 AS suspends FROM placed)
+"""
+
+
+@query(_UPLOADS + "SELECT * FROM decided")
+def upload_decisions(spark, sf):
+    decisions = U.upload_decisions(D.uploads(spark, sf), D.usage_limits(spark, sf))
+    return decisions.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_UPLOADS + "SELECT * FROM decided WHERE ts < (SELECT max(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 10 MINUTE ELSE INTERVAL 0 MINUTE END) FROM events WHERE event_type = 'view') - INTERVAL 1 DAY")
+def streamed_upload_decisions(spark, sf):
+    """Uploads arrive in three parts, out of order by up to a day and some twice; what the watermark has passed is decided."""
+    folder = I.scratch_folder(spark, "streamed-uploads")
+    uploads = D.uploads(spark, sf).withColumn("micros", F.unix_micros("ts"))
+    part = F.floor((F.unix_seconds("ts") + F.col("event_id").cast("long") % 23 * 3600 - 1704067200) / 864_000).cast("int")
+    for k in range(4):
+        uploads.where(part == k).select("key", "event_id", "micros").write.json(f"{folder}/in/part={k}")
+    schema = "key string, event_id string, micros long"
+    for k in range(4):  # one run for each part: the state goes on from the last
+        stream = spark.readStream.schema(schema).json(f"{folder}/in/part=[0-{k}]")
+        N.follow_uploads(stream.select("key", "event_id", F.timestamp_micros("micros").alias("ts")), D.usage_limits(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(N.DECISION).parquet(f"{folder}/out").select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "decision", "remaining", "suspends")
+
+
+@query(ORACLES["merged_students"])
+def streamed_versions(spark, sf):
+    """Replies that come twice and in older versions, newest first for some documents; students of the newest version of each."""
+    folder = I.scratch_folder(spark, "streamed-versions")
+    sent = _held(D.versioned_replies(spark, sf))
+    first = (F.col("version") + F.col("doc_id")) % 2 == F.col("time") % 2
+    for k, some in enumerate((sent.where(first), sent.where(~first))):
+        some.drop("time").write.json(f"{folder}/replies/part={k}")
+        N.follow_replies(spark, f"{folder}/replies/part=[0-{k}]", f"{folder}/table", f"{folder}/state", compact_every=2).awaitTermination()
+    sent.unpersist()
+    return N.current_students(spark, f"{folder}/table").drop("version").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+_HEAD, _TAIL = _CLASS.split(",\ntypes AS ", 1)
+_LIVE = _HEAD.replace("\nlong AS (", "\nlong_before AS (") + _EDITS[len(_CLASS) :].replace("FROM long l", "FROM long_before l").rstrip() + ",\nlong AS (SELECT class_id, number, NULL AS name, mark_type, mark, 0 AS place FROM edited),\ntypes AS " + _TAIL
+
+
+def _live(spark, sf):
+    """Classes whose edits arrive in three parts, mixed, one part twice."""
+    folder = I.scratch_folder(spark, "live-statistics")
+    live = N.LiveStatistics(spark, f"{folder}/tables", compact_every=2)
+    live.begin(*_class(spark, sf))
+    edits = D.corrections(spark, sf)
+    for k in range(3):
+        edits.where(F.pmod(F.xxhash64("edit_seq"), F.lit(3)) == k).write.json(f"{folder}/edits/part={k}")
+    for k in range(3):
+        N.follow_corrections(spark, f"{folder}/edits/part=[0-{k}]", live, f"{folder}/state").awaitTermination()
+    live.edit(spark.read.schema(N.EDIT).json(f"{folder}/edits/part=1"), 100)
+    return live
+
+
+@query(_LIVE + "SELECT * FROM stats")
+def live_statistics(spark, sf):
+    return _live(spark, sf).statistics.latest()
+
+
+@query(_LIVE + "SELECT * FROM overall")
+def live_overall(spark, sf):
+    return _live(spark, sf).overall.latest()

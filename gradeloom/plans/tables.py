@@ -151,3 +151,21 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id")).distinct().select(F.col("user_id").cast("string").alias("key"), (F.col("user_id") % 40).cast("int").alias("upload_limit"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, event_id, ts): an upload for each view; every seventh is sent again ten minutes later."""
+    seen = table(spark, sf_dir, "events").where("event_type = 'view'")
+    times = F.array_compact(F.array(F.col("ts"), F.when(F.col("event_id") % 7 == 0, F.col("ts") + F.expr("INTERVAL 10 MINUTES"))))
+    return seen.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("event_id"), F.explode(times).alias("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def versioned_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, version, ts, text, payload): replies in up to three versions, each but the last with the marks of another document; every fifth comes twice."""
+    now = replies(spark, sf_dir)
+    other = now.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("old_text"), F.col("payload").alias("old_payload"))
+    both = now.join(other, "doc_id", "left")
+    versions = both.select("*", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))).alias("version")).select("*", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1))).alias("time"))
+    last = F.col("version") == F.col("doc_id") % 3 + 1
+    ts = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 50) * 60 + F.col("version") * 7)
+    return versions.select("doc_id", F.col("version").cast("long").alias("version"), ts.alias("ts"), F.when(last, F.col("text")).otherwise(F.col("old_text")).alias("text"), F.when(last, F.col("payload")).otherwise(F.col("old_payload")).alias("payload"), "time")
