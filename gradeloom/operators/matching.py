@@ -54,40 +54,124 @@ def equal_tokens(students: DataFrame, roster: DataFrame) -> DataFrame:
     return a.join(roster.select("sheet_id", "row_idx", token_sort(F.col("name_key")).alias("sorted")), ["sheet_id", "sorted"]).select("sheet_id", "number", "row_idx")
 
 
+def name_pairs(left: DataFrame, right: DataFrame, config: NameMatch = NameMatch()) -> DataFrame:
+    """(sheet_id, n, a, b): the pairs of ``left`` (sheet_id, n, a) and ``right`` (sheet_id, n, b) that ``compare_names`` may accept, and few others.
+
+    Each of its branches leaves a trace that an equality join finds, so no sheet's
+    names all meet. Keys are counted by sheet and the rarest are taken:
+
+    * equal names; names that contain each other without blanks: the shorter
+      one's rarest run of ``contained`` letters is among all runs of the longer one;
+    * similarity of at least ``base``: of strings of at most L letters at most
+      k = floor((1 - base) L) edits apart, each edit spoils two pairs of neighbouring
+      letters, so one of the 2k + 1 rarest pairs of each is shared, k places apart
+      at most, in one of the three forms that are compared;
+    * similarity of at least ``overlap`` with common words: of s distinct words m
+      are shared, so one of the s - m + 1 rarest; names that repeat a word show all.
+    """
+    forms = lambda c: F.array(c, F.replace(c, F.lit(" "), F.lit("")), token_sort(c))
+    names = left.select("sheet_id", "n", F.col("a").alias("name"), F.lit(0).alias("side")).unionByName(right.select("sheet_id", "n", F.col("b").alias("name"), F.lit(1).alias("side"))).distinct()
+    bare = F.replace(F.col("name"), F.lit(" "), F.lit(""))
+    words = F.array_distinct(tokens(F.col("name")))
+    edge = F.least(F.lit(config.base), F.lit(config.short))
+    most = lambda length: F.floor(length * (1 - edge) / edge + 1e-9).cast("int")  # noqa: E731  edits to a longer partner
+
+    # kinds: 0 to 2 letter pairs of a form, 3 words, 4 runs of letters
+    pairs = F.flatten(F.transform(forms(F.col("name")), lambda f, i: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f), F.lit(1))), lambda at: F.struct(i.cast("int").alias("kind"), F.substr(F.concat(F.lit("^"), f), at, F.lit(2)).alias("key"), at.cast("int").alias("at"), F.length(f).alias("length"), (2 * most(F.length(f)) + 1).alias("take")))))
+    shared = F.greatest(F.lit(1), F.ceil(F.size(words) * 0.6).cast("int"))
+    take = F.when(F.size(words) == F.col("n"), F.size(words) - shared + 1).otherwise(F.size(words))
+    word_keys = F.transform(words, lambda w: F.struct(F.lit(3).alias("kind"), w.alias("key"), F.lit(0).alias("at"), F.size(words).alias("length"), take.alias("take")))
+    runs = F.when(F.length(bare) >= config.contained, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare) - config.contained + 1), lambda at: F.substr(bare, at, F.lit(config.contained))))).otherwise(F.array().cast("array<string>"))
+    run_keys = F.transform(runs, lambda w: F.struct(F.lit(4).alias("kind"), w.alias("key"), F.lit(0).alias("at"), F.length(bare).alias("length"), F.lit(1).alias("take")))
+    keys = names.select("sheet_id", "n", "name", "side", F.inline(F.concat(pairs, word_keys, run_keys)))
+
+    by = ["sheet_id", "n", "kind", "key"]
+    counted = keys.join(keys.groupBy(*by).agg(F.count("*").alias("often")), by)
+    rank = F.row_number().over(Window.partitionBy("sheet_id", "n", "side", "name", "kind").orderBy("often", "key", "at"))
+    ranked = counted.withColumn("rare", rank <= F.col("take"))
+    repeats = F.col("kind").eqNullSafe(3) & (F.col("length") < F.col("n"))
+    row = lambda side, to: ranked.where(F.col("side") == side).select(*by, F.col("name").alias(to), F.col("at").alias(f"at_{to}"), F.col("length").alias(f"length_{to}"), F.col("rare").alias(f"rare_{to}"), repeats.alias(f"repeats_{to}"))
+    one, other = row(0, "a"), row(1, "b")
+    k = F.floor(F.greatest("length_a", "length_b") * (1 - edge) + 1e-9)
+    close = (F.abs(F.col("length_a") - F.col("length_b")) <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k)
+    found = [
+        one.where("rare_a and kind <= 3").join(other.where("rare_b and kind <= 3"), by).where((F.col("kind") == 3) | close),
+        one.where("repeats_a").join(other.where("kind = 3 and not repeats_b"), by),
+        one.where("kind = 3 and not repeats_a").join(other.where("repeats_b"), by),
+        one.where("kind = 4 and rare_a").join(other.where("kind = 4"), by).where("length_a <= length_b"),
+        one.where("kind = 4").join(other.where("kind = 4 and rare_b"), by).where("length_a > length_b"),
+    ]
+    equal = left.join(right, (left["sheet_id"] == right["sheet_id"]) & (left["a"] == right["b"])).select(left["sheet_id"], left["n"], "a", "b")
+    out = equal
+    for some in found:
+        out = out.unionByName(some.select("sheet_id", "n", "a", "b"))
+    return out.distinct()
+
+
 def close_names(students: DataFrame, roster: DataFrame, config: NameMatch = NameMatch()) -> DataFrame:
-    """Candidates with as many tokens and a name close enough; sheet and token count are equality keys, distinct names are compared once."""
-    left = students.select("sheet_id", F.size(tokens(F.col("name_key"))).alias("n"), F.col("name_key").alias("a")).distinct()
-    right = roster.select("sheet_id", F.size(tokens(F.col("name_key"))).alias("n"), F.col("name_key").alias("b"), "row_idx").groupBy("sheet_id", "n", "b").agg(F.min("row_idx").alias("row_idx"))
-    near = left.join(right, ["sheet_id", "n"]).where(compare_names(F.col("a"), F.col("b"), config))
-    least = near.groupBy("sheet_id", F.col("a").alias("name_key")).agg(F.min("row_idx").alias("row_idx"))
-    return students.join(least, ["sheet_id", "name_key"]).select("sheet_id", "number", "row_idx")
+    """Candidates (sheet_id, number, row_idx) with as many tokens and a name close enough."""
+    return students.join(close_rows(students, roster, config), ["sheet_id", "name_key"]).select("sheet_id", "number", "row_idx")
+
+
+def close_rows(names: DataFrame, roster: DataFrame, config: NameMatch = NameMatch()) -> DataFrame:
+    """(sheet_id, name_key, row_idx): the lowest row with a close name; distinct names are compared, those that ``name_pairs`` finds."""
+    counted = F.size(tokens(F.col("name_key"))).alias("n")
+    left = names.select("sheet_id", counted, F.col("name_key").alias("a")).distinct()
+    right = roster.groupBy("sheet_id", counted, F.col("name_key").alias("b")).agg(F.min("row_idx").alias("row_idx"))
+    near = name_pairs(left, right.drop("row_idx"), config).where(compare_names(F.col("a"), F.col("b"), config))
+    return near.join(right, ["sheet_id", "n", "b"]).groupBy("sheet_id", F.col("a").alias("name_key")).agg(F.min("row_idx").alias("row_idx"))
 
 
 def phrase_in_row(students: DataFrame, roster: DataFrame) -> DataFrame:
-    """Candidates whose name is a whole phrase of the row's text: joined by the name's first token, an equality key."""
-    a = students.where("name_key <> ''").withColumn("first", F.get(tokens(F.col("name_key")), F.lit(0)))
-    words = roster.select("sheet_id", "row_idx", "row_key", F.explode(F.array_distinct(tokens(F.col("row_key")))).alias("first"))
+    """Candidates (sheet_id, number, row_idx) whose name is a whole phrase of the row's text."""
+    return students.join(phrase_rows(students, roster), ["sheet_id", "name_key"]).select("sheet_id", "number", "row_idx")
+
+
+def phrase_rows(names: DataFrame, roster: DataFrame) -> DataFrame:
+    """(sheet_id, name_key, row_idx): the rows whose text has the name as a whole phrase.
+
+    A name is looked for under the one of its words that the fewest rows of the
+    sheet have, so a first name that half of them bear is no key; a name with a
+    word that no row has is in none. Distinct names are looked for once.
+    """
+    words = roster.select("sheet_id", "row_idx", F.explode(F.array_distinct(tokens(F.col("row_key")))).alias("word"))
+    often = words.groupBy("sheet_id", "word").agg(F.count("*").alias("rows"))
+    names = names.where("name_key <> ''").select("sheet_id", "name_key").distinct()
+    parts = names.select("sheet_id", "name_key", F.explode(F.array_distinct(tokens(F.col("name_key")))).alias("word")).join(often, ["sheet_id", "word"], "left")
+    anchors = parts.groupBy("sheet_id", "name_key").agg(F.min(F.struct("rows", "word")).alias("least"), F.count_if(F.col("rows").isNull()).alias("nowhere")).where("nowhere = 0").select("sheet_id", "name_key", F.col("least.word").alias("word"))
     inside = F.concat(F.lit(" "), F.col("row_key"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("name_key"), F.lit(" ")))
-    return a.join(words, ["sheet_id", "first"]).where(inside).select("sheet_id", "number", "row_idx")
+    texts = roster.select("sheet_id", "row_idx", "row_key")
+    return anchors.join(words, ["sheet_id", "word"]).join(texts, ["sheet_id", "row_idx"]).where(inside).select("sheet_id", "name_key", "row_idx")
 
 
 def match_rows(students: DataFrame, roster: DataFrame, config: NameMatch = NameMatch(), semantics: str = "reference") -> DataFrame:
     """(sheet_id, number, name, row_idx, tier) per student; row_idx and tier are null where no tier has a hit.
 
-    Each tier sees only the students that the earlier ones left, so the costly
-    close-name comparison meets few. Reference: an empty name matches the first
-    row with an empty name; corrected: it matches nothing.
+    Tiers 1 and 2 are one join: names under themselves and under their sorted
+    tokens, each with its lowest row. Tiers 3 and 4 look for the distinct names
+    that are left. Each name takes the least (tier, row), and its students take
+    that. Reference: an empty name matches the first row with an empty name;
+    corrected: it matches nothing.
     """
     roster = roster.where("row_idx > 0")
     if "row_key" not in roster.columns:
         roster = roster.withColumn("row_key", F.col("name_key"))
-    rest = students if semantics == "reference" else students.where("name_key <> ''")
-    found = None
-    for tier, rule in enumerate((equal_names, equal_tokens, lambda s, r: close_names(s, r, config), phrase_in_row), 1):
-        hits = rule(rest, roster).groupBy("sheet_id", "number").agg(F.min("row_idx").alias("row_idx")).withColumn("tier", F.lit(tier))
-        found = hits if found is None else found.unionByName(hits)
-        rest = rest.join(hits, ["sheet_id", "number"], "left_anti")
-    return students.join(found, ["sheet_id", "number"], "left").select("sheet_id", "number", "name", "row_idx", "tier")
+    names = students.select("sheet_id", "name_key").distinct()
+    if semantics != "reference":
+        names = names.where("name_key <> ''")
+    own = F.struct(F.lit(1).alias("tier"), F.col("name_key").alias("key"))
+    in_order = F.struct(F.lit(2).alias("tier"), token_sort(F.col("name_key")).alias("key"))
+    keys = F.inline(F.when(F.size(tokens(F.col("name_key"))) >= 2, F.array(own, in_order)).otherwise(F.array(own)))
+    index = roster.select("sheet_id", "row_idx", keys).groupBy("sheet_id", "tier", "key").agg(F.min("row_idx").alias("row_idx"))
+    hits = names.select("sheet_id", "name_key", keys).join(index, ["sheet_id", "tier", "key"]).select("sheet_id", "name_key", "tier", "row_idx")
+    best = lambda df: df.groupBy("sheet_id", "name_key").agg(F.min(F.struct("tier", "row_idx")).alias("best"))
+    known = names.join(best(hits), ["sheet_id", "name_key"], "left")
+    rest = known.where("best is null").select("sheet_id", "name_key")
+    tier = lambda found, k: found.select("sheet_id", "name_key", F.lit(k).alias("tier"), "row_idx")
+    more = tier(close_rows(rest, roster, config), 3).unionByName(tier(phrase_rows(rest, roster), 4))
+    settled = known.where("best is not null").unionByName(best(more))
+    out = students.join(settled, ["sheet_id", "name_key"], "left")
+    return out.select("sheet_id", "number", "name", F.col("best.row_idx").alias("row_idx"), F.col("best.tier").alias("tier"))
 
 
 def unmatched(matches: DataFrame) -> DataFrame:

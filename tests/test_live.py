@@ -120,3 +120,37 @@ def test_counters_of_nothing(spark):
     row = K.statistics_of(gone).where("mark_type = 'fard1'").first()
     assert (row["n_marks"], row["n_missing"], row["min_mark"], row["max_mark"], row["median_mark"]) == (0, 3, 20.0, 0.0, 0.0)
     assert K.overall_of(gone).count() == 0
+
+
+def test_name_pairs_lose_no_close_name(spark):
+    from pyspark.sql import functions as F
+
+    from gradeloom.functions.scalars import compare_names, tokens
+
+    rng = random.Random(7)
+    firsts = ["mohamed"] * 12 + ["karim", "sara", "ali", "el", "fatima zahra", "aly", "a"]
+    lasts = ["alaoui", "alaouy", "idrissi", "idrisi", "fassi", "fasi", "el amrani", "amrani", "ben ali", "benali", "al", "ali", "", "b"]
+
+    def name():
+        text = f"{rng.choice(firsts)} {rng.choice(lasts)}".strip()
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            at = rng.randint(0, len(text))
+            text = text[:at] + rng.choice(["", "a", "x", " ", text[at : at + 1] * 2]) + text[at + rng.randint(0, 1) :]
+        return " ".join(rng.sample(text.split(), len(text.split())) if rng.random() < 0.2 else text.split())
+
+    rows = lambda n: spark.createDataFrame([(k % 2, name()) for k in range(n)] + [(0, ""), (1, "x")], "sheet_id long, name string").distinct()
+    counted = F.size(tokens(F.col("name"))).alias("n")
+    left, right = rows(260).select("sheet_id", counted, F.col("name").alias("a")).cache(), rows(260).select("sheet_id", counted, F.col("name").alias("b")).cache()
+    everything = left.join(right, ["sheet_id", "n"])
+    want = {tuple(r) for r in everything.where(compare_names(F.col("a"), F.col("b"))).collect()}
+    found = {tuple(r) for r in M.name_pairs(left, right).collect()}
+    assert len(want) > 200
+    assert not want - found
+    assert len(found) < everything.count()
+
+
+def test_a_common_first_name_is_no_key(spark):
+    roster = spark.createDataFrame([(1, k, f"mohamed fam{k} x", f"{k} mohamed fam{k} x") for k in range(1, 300)] + [(1, 300, "sara", "sara q"), (2, 1, "mohamed", "mohamed")], "sheet_id long, row_idx int, name_key string, row_key string")
+    students = spark.createDataFrame([(1, 1, "mohamed fam7", "mohamed fam7"), (1, 2, "mohamed", "mohamed"), (1, 3, "mohamed nobody", "mohamed nobody"), (1, 4, "q", "q"), (1, 5, "", ""), (2, 6, "fam7", "fam7")], "sheet_id long, number int, name string, name_key string")
+    assert {(r["number"], r["row_idx"]) for r in M.phrase_in_row(students, roster).collect()} == {(1, 7), (4, 300)} | {(2, k) for k in range(1, 300)}
+    assert {(r["number"], r["row_idx"], r["tier"]) for r in M.match_rows(students, roster).collect()} == {(1, 7, 4), (2, 1, 4), (3, None, None), (4, 300, 4), (5, None, None), (6, None, None)}
