@@ -658,3 +658,37 @@ def live_statistics(spark, sf):
 @query(_LIVE + "SELECT * FROM overall")
 def live_overall(spark, sf):
     return _live(spark, sf).overall.latest()
+
+
+@query(f"""WITH o AS (SELECT o_orderkey // 30 AS doc_id, row_number() OVER (PARTITION BY o_orderkey // 30 ORDER BY o_orderkey) AS number, o_custkey % 5 AS form, [floor(o_totalprice / k) % 81 / 4 for k in [1, 2, 3]] AS m FROM orders),
+n AS (SELECT *, CASE form WHEN 2 THEN m WHEN 3 THEN [12, 5, m[1], m[2]] END AS rest FROM o)
+SELECT doc_id, number::INT AS number, CASE form WHEN 0 THEN 'اسم التلميذ' WHEN 1 THEN '--' WHEN 2 THEN 'Student_' || number WHEN 3 THEN '12/5' ELSE '{D.GIVEN[0]}' END AS name,
+(CASE WHEN form IN (2, 3) THEN rest[1] ELSE m[1] END)::DOUBLE AS fard1, (CASE WHEN form IN (2, 3) THEN rest[2] ELSE m[2] END)::DOUBLE AS fard2, rest[3]::DOUBLE AS fard3, NULL::DOUBLE AS fard4, (CASE WHEN form IN (2, 3) THEN rest[4] ELSE m[3] END)::DOUBLE AS activities,
+form <> 4 AS u_name, true AS u_fard1, true AS u_fard2, form IN (2, 3) AS u_fard3, false AS u_fard4, form <> 2 AS u_activities FROM n""")
+def students_without_names(spark, sf):
+    """Lines that only the emergency rules for names, or the last resort, can read."""
+    return R.students_from_text(D.unreadable_replies(spark, sf))
+
+
+_UNTITLED = """WITH p AS (SELECT p_partkey // 10 AS sheet_id, p_partkey % 10 + 1 AS row_idx, p_name AS name, split_part(p_name, ' ', 1) AS first, p_partkey // 10 % 3 AS form FROM part),
+t AS (SELECT sheet_id, row_idx, form, unnest(range(5)) AS col_idx, unnest(CASE form WHEN 0 THEN [NULL, first, NULL, NULL, name] WHEN 1 THEN ['01/02/2010', CASE WHEN row_idx % 4 = 0 THEN row_idx::VARCHAR ELSE first END, name, NULL, row_idx::VARCHAR]
+  ELSE [NULL, NULL, CASE WHEN row_idx <= 5 THEN name ELSE row_idx::VARCHAR || row_idx END, NULL, NULL] END) AS s FROM p),
+f AS (SELECT *, regexp_matches(s, '[a-zA-Z]')::INT AS letters, len(string_split(s, ' ')) AS words, (NOT regexp_full_match(s, '[0-9]+'))::INT AS other, (NOT regexp_matches(s, '[0-9]{2}[-/][0-9]{2}[-/][0-9]{4}'))::INT AS undated FROM t WHERE s IS NOT NULL),
+single AS (SELECT sheet_id, form, col_idx, least(1.0, sum(1.5 * (letters = 1 AND length(s) >= 2)::INT + (words >= 2)::INT + 0.5 * other + 0.3 * undated) / (count(*) * 3.3)) AS score FROM f GROUP BY ALL),
+ab AS (SELECT sheet_id, form, row_idx, l AS col_idx, max(s) FILTER (col_idx = l) AS a, max(s) FILTER (col_idx = l + 1) AS b FROM f, range(4) r(l) WHERE col_idx IN (l, l + 1) GROUP BY ALL),
+pt AS (SELECT *, concat_ws(' ', a, b) AS s FROM ab),
+pair AS (SELECT sheet_id, form, col_idx, least(1.0, sum(1.5 * (regexp_matches(s, '[a-zA-Z]') AND length(s) >= 3)::INT + (len(string_split(s, ' ')) >= 2)::INT + 0.5 * (NOT regexp_full_match(s, '[0-9]+'))::INT) / (count(*) * 3.0)) AS score FROM pt GROUP BY ALL),
+scores AS (SELECT * FROM single UNION ALL SELECT * FROM pair UNION ALL SELECT sheet_id, form, col_idx + 1, score FROM pair),
+best AS (SELECT sheet_id, col_idx, max(score) AS score FROM scores GROUP BY ALL),
+top AS (SELECT sheet_id, arg_max(col_idx, score * 100 - col_idx * 1e-6) AS col_idx, max(score) AS score FROM best GROUP BY 1),
+beside AS (SELECT sheet_id, col_idx FROM single WHERE form = 0 AND col_idx = 1 AND score >= 0.6),
+begun AS (SELECT sheet_id, min(col_idx) AS col_idx FROM (SELECT sheet_id, col_idx FROM f WHERE row_idx <= 5 GROUP BY ALL HAVING avg(2 * letters + (words BETWEEN 2 AND 5)::INT + other * undated) > 2.5) GROUP BY 1)
+SELECT sheet_id, coalesce(b.col_idx, CASE WHEN t.score >= 0.6 THEN t.col_idx END, r.col_idx, -1)::INT AS name_col FROM (SELECT DISTINCT sheet_id FROM p) LEFT JOIN beside b USING (sheet_id) LEFT JOIN top t USING (sheet_id) LEFT JOIN begun r USING (sheet_id)
+"""
+
+
+@query(_UNTITLED)
+def untitled_name_columns(spark, sf):
+    """Official sheets without a name title: the name's column by what it holds."""
+    cells = D.untitled_sheets(spark, sf)
+    return H.official_name_column(cells, H.header_cells(cells)).withColumn("name_col", F.col("name_col").cast("int"))

@@ -169,3 +169,35 @@ def versioned_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.col("version") == F.col("doc_id") % 3 + 1
     ts = F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 50) * 60 + F.col("version") * 7)
     return versions.select("doc_id", F.col("version").cast("long").alias("version"), ts.alias("ts"), F.when(last, F.col("text")).otherwise(F.col("old_text")).alias("text"), F.when(last, F.col("payload")).otherwise(F.col("old_payload")).alias("payload"), "time")
+
+
+def unreadable_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): marksheets of 30 orders each, of whose lines most have no name: a title stands there, or signs, or a fraction."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / PER_REPLY).alias("doc_id"), (F.col("o_orderkey") % PER_REPLY + 1).alias("i"), F.col("o_totalprice").alias("p"), (F.col("o_custkey") % 5).alias("form"))
+    mark = lambda k: F.replace(F.format_string("%.2f", (F.floor(F.col("p") / (k + 1)) % 81 / 4).cast("double")), F.lit("."), F.lit(","))
+    name = F.get(F.array(*map(F.lit, ("اسم التلميذ", "--", "-", "12/5", GIVEN[0]))), F.col("form").cast("int"))
+    line = F.concat_ws(" | ", F.col("i").cast("string"), name, mark(0), mark(1), mark(2))
+    by = spread(o.select("doc_id", "i", line.alias("line")), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("r"))
+    return by.select("doc_id", F.concat(F.lit("رقم | الاسم | الفرض 1 | الفرض 2 | الأنشطة\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def untitled_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of official sheets, ten parts each, whose names stand under no name title: beside the number, in the most name-like column, or in one that only begins with names."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("sheet_id"), (F.col("p_partkey") % 10 + 1).cast("int").alias("row_idx"), F.col("p_name").alias("name"))
+    form = F.col("sheet_id") % 3
+    first = F.split_part("name", F.lit(" "), F.lit(1))
+    row = F.col("row_idx").cast("string")
+    by_form = [
+        (row, first, None, None, F.col("name")),
+        (F.lit("01/02/2010"), F.when(F.col("row_idx") % 4 == 0, row).otherwise(first), F.col("name"), None, row),
+        (None, None, F.when(F.col("row_idx") <= 5, F.col("name")).otherwise(F.concat(row, row)), None, None),
+    ]
+    titles = [("الرقم", "", "الفرض 1", "الفرض 2", ""), ("تاريخ الازدياد", "", "", "الفرض 1", "الفرض 2"), ("تاريخ الازدياد", "", "", "الفرض 1", "الفرض 2")]
+    null = F.lit(None).cast("string")
+    pick = lambda rows, c: F.when(form == 0, rows[0][c]).when(form == 1, rows[1][c]).otherwise(rows[2][c])
+    text = lambda c: pick([[null if x is None else x for x in r] for r in by_form], c)
+    cells = p.select("sheet_id", "row_idx", F.posexplode(F.array(*[text(c) for c in range(5)])).alias("col_idx", "str")).where("str is not null")
+    heads = p.select("sheet_id").distinct().select("sheet_id", F.lit(0).alias("row_idx"), F.posexplode(F.array(*[pick([list(map(F.lit, r)) for r in titles], c) for c in range(5)])).alias("col_idx", "str"))
+    both = heads.unionByName(cells)
+    number = (F.col("row_idx") > 0) & (F.col("col_idx") == 0) & (form == 0)
+    return both.select("sheet_id", "row_idx", "col_idx", F.when(F.col("str") == "", "empty").when(number, "number").otherwise("string").alias("kind"), "str", F.when(number, F.col("str").cast("double")).alias("num"))
