@@ -14,6 +14,7 @@ from ..operators import sheets as H
 from ..operators import statistics as T
 from ..operators import usage as U
 from ..sources import readers as I
+from ..sources import sheet_store as K
 from ..streaming import incremental as N
 from . import tables as D
 
@@ -302,6 +303,22 @@ def written_cells(spark, sf):
     return M.apply_writes(cells, _writes(spark, sf)[1]).drop("num")
 
 
+@query(ORACLES["written_cells"])
+def written_back_cells(spark, sf):
+    """Sheets are stored, marks inserted, the same inserted again and the store made one; cells as read back."""
+    cells = D.roster(spark, sf).select("sheet_id", "row_idx", F.lit(1).alias("col_idx"), F.lit("string").alias("kind"), F.col("name").alias("str"), F.lit(None).cast("double").alias("num"))
+    store = K.SheetStore(spark, I.scratch_folder(spark, "written-back"))
+    store.begin(cells)
+    writes = _held(_writes(spark, sf)[1])
+    store.insert(writes.where("sheet_id % 2 = 0"), 1)
+    store.insert(writes, 2)
+    store.compact(1)
+    store.insert(writes, 2)
+    writes.unpersist()
+    back = store.cells()
+    return back.select(F.col("sheet_id").cast("long").alias("sheet_id"), "row_idx", "col_idx", "kind", "str")
+
+
 @query(_ROSTER + "SELECT sheet_id, coalesce(n, 0) AS success, not_found FROM (SELECT sheet_id, count(*) FILTER (row_idx IS NULL) AS not_found FROM matched GROUP BY 1) LEFT JOIN (SELECT sheet_id, count(*) AS n FROM writes GROUP BY 1) USING (sheet_id)")
 def insertion_results(spark, sf):
     matches, writes = _writes(spark, sf)

@@ -154,3 +154,37 @@ def test_a_common_first_name_is_no_key(spark):
     students = spark.createDataFrame([(1, 1, "mohamed fam7", "mohamed fam7"), (1, 2, "mohamed", "mohamed"), (1, 3, "mohamed nobody", "mohamed nobody"), (1, 4, "q", "q"), (1, 5, "", ""), (2, 6, "fam7", "fam7")], "sheet_id long, number int, name string, name_key string")
     assert {(r["number"], r["row_idx"]) for r in M.phrase_in_row(students, roster).collect()} == {(1, 7), (4, 300)} | {(2, k) for k in range(1, 300)}
     assert {(r["number"], r["row_idx"], r["tier"]) for r in M.match_rows(students, roster).collect()} == {(1, 7, 4), (2, 1, 4), (3, None, None), (4, 300, 4), (5, None, None), (6, None, None)}
+
+
+def test_write_back_sets_its_cells_alone(spark, tmp_path):
+    from gradeloom.sources.sheet_store import SheetStore
+
+    store = SheetStore(spark, str(tmp_path))
+    store.begin(spark.createDataFrame([(f"s{k}", r, c, "number" if c else "string", str(r), float(r) if c else None) for k in range(5) for r in range(3) for c in range(2)], "sheet_id string, row_idx int, col_idx int, kind string, str string, num double"))
+    writes = spark.createDataFrame([("s1", 1, 1, 7, "9.50"), ("s1", 1, 1, 8, "11.00"), ("s3", 2, 5, 1, "12.00"), ("s3", 0, 1, 2, "")], "sheet_id string, row_idx int, col_idx int, number long, str string")
+    before = {tuple(r) for r in store.cells().collect()}
+    for _ in range(2):
+        store.insert(writes, 1)
+        after = {tuple(r) for r in store.cells().collect()}
+        assert after - before == {("s1", 1, 1, "string", "11.00", None), ("s3", 2, 5, "string", "12.00", None), ("s3", 0, 1, "empty", "", None)}
+        assert len(after) == len(before) + 1
+    assert store.log.changed(1).count() == 3
+    (tmp_path / "log" / "batch=2").mkdir()  # a write-back that never finished
+    store.compact(1)
+    assert {tuple(r) for r in store.cells().collect()} == after
+    some = store.cells(spark.createDataFrame([("s3",), ("none",)], "sheet_id string"))
+    assert {tuple(r) for r in some.collect()} == {x for x in after if x[0] == "s3"}
+
+
+def test_files_of_replies_and_images(spark, tmp_path):
+    from gradeloom.sources import readers as I
+
+    (tmp_path / "replies").mkdir()
+    (tmp_path / "replies" / "sheet-7.txt").write_text("رقم|الاسم\n1|أحمد")
+    (tmp_path / "replies" / "empty.txt").write_text("")
+    assert {(r["doc_id"], r["text"]) for r in I.read_replies(spark, str(tmp_path / "replies")).collect()} >= {("sheet-7", "رقم|الاسم\n1|أحمد")}
+    (tmp_path / "images").mkdir()
+    for name, size in (("a.png", 10), ("b.jpg", 6 << 20), ("c.txt", 5)):
+        (tmp_path / "images" / name).write_bytes(b"x" * size)
+    found = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in I.image_gate(I.list_images(spark, str(tmp_path / "images"))).collect()}
+    assert found == {"a.png": None, "b.jpg": "too_large_to_upload", "c.txt": "not_an_image"}
