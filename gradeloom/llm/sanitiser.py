@@ -371,35 +371,76 @@ def _marked_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return joined.withColumns({"spans": text, "n_term": F.size(more).cast("long")}).select("doc_id", *columns, "n_term")
 
 
+def rewritten(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, bool]]) -> str:
+    """``text`` with its entities and ``terms`` (start, end, whether the beginning may stay) replaced."""
+    spans = sorted([(a, k, b, False) for a, k, b in base] + [(a, 4, b, wide) for a, b, wide in terms])
+    out, at = [], 0
+    for a, kind, b, wide in spans:
+        if a < at:  # a number that is a card and part of a telephone number, say
+            at = max(at, b)
+            continue
+        out += [text[at:a], f"[{KINDS[kind]}]" if kind < 4 else beginning(lower(text[a:b])) if wide else ""]
+        at = b
+    return "".join(out) + text[at:]
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with (doc_id, text) made safe: entities become their kind in square brackets, disclosing terms their beginning, or nothing.
+    """``docs`` with (doc_id, text) made safe: entities become their kind in square brackets, disclosing terms their beginning where that discloses nothing, else nothing.
 
-    Terms are held by each task, so there may be TERMS_IN_MEMORY of them. A null text stays null.
+    A null text stays null; repeated rows come out each; an empty table gives no
+    rows; other columns are left out.
     """
     terms = disclosing(docs)
-    if terms.count() > TERMS_IN_MEMORY:
-        raise ValueError("more disclosing terms than a task holds; use the spans of judge()")
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column("term").to_numpy()))
+    if terms.count() <= TERMS_IN_MEMORY:
+        return _rewritten_from_memory(docs, terms)
+    return _rewritten_by_join(docs, terms)
 
-    def safe(text: str, known: dict[str, bool]) -> str:
-        base = base_spans(text)
-        test = among_sorted(shared.value) if len(shared.value) else None
-        spans = sorted(base + (term_spans(text, base, known, test) if test else []))
-        out, at = [], 0
-        for a, kind, b in spans:
-            if a < at:  # a number that is a card and part of a telephone number, say
-                at = max(at, b)
-                continue
-            out.append(text[at:a])
-            wide = beginning(lower(text[a:b])) if kind == 4 else None
-            out.append(f"[{KINDS[kind]}]" if kind < 4 else wide if wide and not test(np.array([number(wide)]))[0] else "")
-            at = b
-        return "".join(out) + text[at:]
+
+def _rewritten_from_memory(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms.toArrow().column("term").to_numpy()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
+        test = among_sorted(shared.value) if len(shared.value) else None
+
+        def stays(term: str) -> bool:
+            wide = beginning(lower(term))
+            return wide is not None and not test(np.array([number(wide)]))[0]
+
+        def safe(text: str) -> str:
+            base = base_spans(text)
+            found = term_spans(text, base, known, test) if test else []
+            return rewritten(text, base, [(a, b, stays(text[a:b])) for a, _, b in found])
+
         for batch in batches:
-            texts = [None if t is None else safe(t, known) for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else safe(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def _rewritten_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same where terms are too many for a task's memory: places join terms, and their beginnings join terms; texts get their places by hash."""
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(terms.select(F.col("term").alias("number"))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def places(text: str) -> list[tuple]:
+        found = [(number(t), number(g) if (g := beginning(t)) else None, a, b) for a, b, t in outside(text, base_spans(text))]
+        kept = marked(marks.value, np.array([f[0] for f in found], dtype=np.int64)) if found else []
+        return [(text_hash(text), *f) for f, keep in zip(found, kept) if keep]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text_hash(t or "") for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text", "hash"])
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else rewritten(t, base_spans(t), [(x["start"], x["end"], x["wide"]) for x in more or ()]) for t, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    found = texts_of(docs, places, "hash binary, term long, beginning long, start int, end int").distinct().join(terms, "term")
+    told = found.join(terms.select(F.col("term").alias("beginning"), F.lit(True).alias("tells")), "beginning", "left")
+    wide = F.col("beginning").isNotNull() & F.col("tells").isNull()
+    grouped = told.groupBy("hash").agg(F.collect_list(F.struct("start", "end", wide.alias("wide"))).alias("more"))
+    joined = docs.select("doc_id", "text").mapInArrow(named, f"doc_id {kind}, text string, hash binary").join(grouped, "hash", "left")
+    return joined.select("doc_id", "text", "more").mapInArrow(rewrite, f"doc_id {kind}, text string")

@@ -125,11 +125,13 @@ def test_sanitiser_equals_a_plain_version(spark, monkeypatch, in_memory):
     assert sanitiser.judge(df.limit(0)).count() == 0
 
 
-def test_sanitised_texts_hold_no_entity(spark):
+@pytest.mark.parametrize("in_memory", [10**6, 0])
+def test_sanitised_texts_hold_no_entity(spark, monkeypatch, in_memory):
+    monkeypatch.setattr(sanitiser, "TERMS_IN_MEMORY", in_memory)
     docs = [(k, t) for k, t in private_docs() if k is not None]
     _, bad = plain_judgement(private_docs())
     out = dict(map(tuple, sanitiser.sanitised(spark.createDataFrame(private_docs(), DOC)).where("doc_id is not null").collect()))
-    assert out[501] is None and out[502] == ""
+    assert out[501] is None and out[502] == "" and len(out) == len({k for k, _ in docs})
     for k, text in docs:
         if text:
             assert not plain_spans(out[k])
