@@ -68,15 +68,18 @@ def mark_statistics(students: DataFrame, detected: DataFrame) -> DataFrame:
 def overall(students: DataFrame, detected: DataFrame, semantics: str = "reference") -> DataFrame:
     """Per class over all detected marks: average, median, sd, pass and fail rate, missing rate, count.
 
-    One pass by grouping sets. Reference: missing marks count only for types
-    without any mark. Corrected: all missing marks count.
+    One pass over the marks by grouping sets, of which the class's rows are then
+    one. Reference: missing marks count only for types without any mark.
+    Corrected: all missing marks count.
     """
-    long = long_marks(students, detected)
-    by_type = long.groupBy("class_id", "mark_type").agg(F.count("mark").alias("n"), F.count_if(F.col("mark").isNull()).alias("gone"))
-    counted = F.sum("gone") if semantics == "corrected" else F.sum(F.when(F.col("n") == 0, F.col("gone")).otherwise(0))
-    missing = by_type.groupBy("class_id").agg(counted.alias("missing"))
-    whole = long.where("mark is not null").groupBy("class_id").agg(F.count("mark").alias("total_marks"), F.avg("mark").alias("a"), F.percentile("mark", F.lit(0.5)).alias("m"), F.stddev_pop("mark").alias("s"), F.avg((F.col("mark") >= 10).cast("double")).alias("p"))
-    return whole.join(missing, "class_id").select("class_id", "total_marks", _round(F.col("a")).alias("overall_average"), _round(F.col("m")).alias("overall_median"), _round(F.col("s")).alias("overall_sd"), _round(F.col("p")).alias("pass_rate"), _round(1 - F.col("p")).alias("fail_rate"), _round(F.col("missing") / (F.col("total_marks") + F.col("missing"))).alias("missing_rate"))
+    mark = F.col("mark")
+    sets = long_marks(students, detected).groupingSets([["class_id", "mark_type"], ["class_id"]], "class_id", "mark_type").agg(
+        F.count("mark").alias("n"), F.count_if(mark.isNull()).alias("gone"), F.avg("mark").alias("a"), F.percentile("mark", F.lit(0.5)).alias("m"), F.stddev_pop("mark").alias("s"), F.avg((mark >= 10).cast("double")).alias("p"), F.grouping("mark_type").alias("whole")
+    )
+    of_class = lambda c: F.max(F.when(F.col("whole") == 1, F.col(c)))
+    lost = (F.col("whole") == 0) if semantics == "corrected" else (F.col("whole") == 0) & (F.col("n") == 0)
+    whole = sets.groupBy("class_id").agg(of_class("n").alias("total_marks"), *[of_class(c).alias(c) for c in "amsp"], F.sum(F.when(lost, F.col("gone")).otherwise(0)).alias("missing")).where("total_marks > 0")
+    return whole.select("class_id", "total_marks", _round(F.col("a")).alias("overall_average"), _round(F.col("m")).alias("overall_median"), _round(F.col("s")).alias("overall_sd"), _round(F.col("p")).alias("pass_rate"), _round(1 - F.col("p")).alias("fail_rate"), _round(F.col("missing") / (F.col("total_marks") + F.col("missing"))).alias("missing_rate"))
 
 
 def _by_type(*order) -> Window:
