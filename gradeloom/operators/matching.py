@@ -113,12 +113,22 @@ def close_names(students: DataFrame, roster: DataFrame, config: NameMatch = Name
     return students.join(close_rows(students, roster, config), ["sheet_id", "name_key"]).select("sheet_id", "number", "row_idx")
 
 
+ALL_PAIRS = 500  # names of a sheet and number of tokens that are compared with each other without an index
+
+
 def close_rows(names: DataFrame, roster: DataFrame, config: NameMatch = NameMatch()) -> DataFrame:
-    """(sheet_id, name_key, row_idx): the lowest row with a close name; distinct names are compared, those that ``name_pairs`` finds."""
+    """(sheet_id, name_key, row_idx): the lowest row with a close name. Distinct names are compared: in a sheet all of as many tokens, in one with more than ALL_PAIRS of them those that ``name_pairs`` finds."""
     counted = F.size(tokens(F.col("name_key"))).alias("n")
     left = names.select("sheet_id", counted, F.col("name_key").alias("a")).distinct()
     right = roster.groupBy("sheet_id", counted, F.col("name_key").alias("b")).agg(F.min("row_idx").alias("row_idx"))
-    near = name_pairs(left, right.drop("row_idx"), config).where(compare_names(F.col("a"), F.col("b"), config))
+    crowds = right.groupBy("sheet_id", "n").agg(F.count("*").alias("names")).where(F.col("names") > ALL_PAIRS).select("sheet_id", "n")
+    by = ["sheet_id", "n"]
+    if crowds.isEmpty():  # as many pairs as a left name's group has names, and those are few
+        pairs = left.join(right.select(*by, "b"), by)
+    else:
+        few = left.join(right.join(crowds, by, "left_anti").select(*by, "b"), by).select(*by, "a", "b")
+        pairs = few.unionByName(name_pairs(left.join(crowds, by, "left_semi"), right.join(crowds, by, "left_semi").select(*by, "b"), config))
+    near = pairs.where(compare_names(F.col("a"), F.col("b"), config))
     return near.join(right, ["sheet_id", "n", "b"]).groupBy("sheet_id", F.col("a").alias("name_key")).agg(F.min("row_idx").alias("row_idx"))
 
 

@@ -122,7 +122,7 @@ def test_counters_of_nothing(spark):
     assert K.overall_of(gone).count() == 0
 
 
-def test_name_pairs_lose_no_close_name(spark):
+def test_name_pairs_lose_no_close_name(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from gradeloom.functions.scalars import compare_names, tokens
@@ -147,6 +147,11 @@ def test_name_pairs_lose_no_close_name(spark):
     assert len(want) > 200
     assert not want - found
     assert len(found) < everything.count()
+    roster = right.selectExpr("sheet_id", "b as name_key", "cast(abs(hash(b)) % 1000 as int) as row_idx")
+    names = left.selectExpr("sheet_id", "a as name_key")
+    plain = {tuple(r) for r in M.close_rows(names, roster).collect()}
+    monkeypatch.setattr(M, "ALL_PAIRS", 40)
+    assert {tuple(r) for r in M.close_rows(names, roster).collect()} == plain
 
 
 def test_a_common_first_name_is_no_key(spark):
