@@ -193,3 +193,13 @@ def test_files_of_replies_and_images(spark, tmp_path):
         (tmp_path / "images" / name).write_bytes(b"x" * size)
     found = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in I.image_gate(I.list_images(spark, str(tmp_path / "images"))).collect()}
     assert found == {"a.png": None, "b.jpg": "too_large_to_upload", "c.txt": "not_an_image"}
+
+
+def test_queries_without_the_text_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as E; q = E.queries(); print(len(q), any(n.startswith('op') or n == 'pipeline' for n in q), len(E.oracle_sql()))"
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    count, text, sql = run.stdout.split()[-3:]
+    assert int(count) >= 63 and text == "False" and int(sql) >= 63, run.stderr[-800:]
