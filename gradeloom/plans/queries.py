@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from ..operators import layout as L
 from ..operators import matching as M
 from ..operators import recognition as R
 from ..operators import sheets as H
@@ -395,14 +396,14 @@ _JSON_TYPES = lambda of: "'{' || " + " || ',' || ".join(f"'\"{t}\":' || {of(k +
 '[' || heading || ']' AS headers, CASE WHEN way IN (1, 3) THEN '[{{"index":4,"header":"تقويم"}}]' ELSE '[]' END AS extra_cols, n_rows >= 5 AS valid
 FROM structure s JOIN (SELECT sheet_id, string_agg('"' || CASE WHEN kind = 'n' AND str::DOUBLE = 0 THEN '' ELSE str END || '"', ',' ORDER BY col_idx) AS heading FROM cells JOIN heads USING (sheet_id) WHERE row_idx = CASE WHEN way = 0 THEN 1 ELSE 0 END GROUP BY 1) USING (sheet_id)""")
 def sheet_structures(spark, sf):
-    s = H.infer_structure(_held(D.cells(spark, sf)))
+    s = L.infer_structure(D.cells(spark, sf))
     return s.select("sheet_id", "n_rows", "n_cols", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), F.to_json("confidence").alias("confidence"), F.to_json("headers").alias("headers"), F.to_json("extra_cols").alias("extra_cols"), "valid")
 
 
 @query(_CELLS + f"""SELECT sheet_id, CASE way WHEN 0 THEN 'official' ELSE 'generic' END AS layout, 1 AS name_col, 0 AS id_col, {_JSON_TYPES(lambda k: f"corrected[{k}]")} AS mark_cols, n_rows >= 5 AS valid
 FROM (SELECT *, CASE way WHEN 2 THEN [CASE WHEN conf[1] > 0.5 THEN 2 ELSE -1 END, CASE WHEN conf[2] > 0.5 THEN 3 ELSE -1 END, CASE WHEN conf[3] > 0.5 THEN 4 ELSE -1 END, 5, CASE WHEN last > 0.5 THEN 6 ELSE -1 END] ELSE cols END AS corrected FROM structure)""")
 def sheet_structures_corrected(spark, sf):
-    s = H.infer_structure(_held(D.cells(spark, sf)), "corrected")
+    s = L.infer_structure(D.cells(spark, sf), "corrected")
     return s.select("sheet_id", "layout", "name_col", "id_col", F.to_json("mark_cols").alias("mark_cols"), "valid")
 
 
@@ -419,8 +420,8 @@ def official_layouts(spark, sf):
 @query(_CELLS + f"""SELECT s.sheet_id, {", ".join(f"CASE WHEN found IS NOT NULL THEN list_contains(found, '{t}') ELSE cols[{k + 1}] >= 0 END AS has_{t}" for k, t in enumerate(TYPES))}
 FROM structure s LEFT JOIN (SELECT sheet_id, list(mark_type) AS found FROM labels GROUP BY 1) USING (sheet_id)""")
 def sheet_available_types(spark, sf):
-    cells = _held(D.cells(spark, sf))
-    return H.available_types(cells, H.infer_structure(cells))
+    cells = D.cells(spark, sf)
+    return H.available_types(cells, L.infer_structure(cells))
 
 
 @query(_CELLS + r""", t AS (SELECT sheet_id, row_idx, col_idx, trim(str) AS t FROM filled WHERE row_idx BETWEEN 1 AND 10),
@@ -432,23 +433,21 @@ two AS (SELECT sheet_id, col_idx, least(1.0, sum(1.5 * (regexp_matches(t, '[\x{0
   FROM p JOIN sizes USING (sheet_id) WHERE col_idx >= 0 AND col_idx + 1 < n_cols GROUP BY 1, 2)
 SELECT sheet_id, col_idx, round(score::DOUBLE, 6) AS score, 'single' AS of FROM one UNION ALL SELECT sheet_id, CAST(col_idx AS INT), round(score::DOUBLE, 6), 'pair' FROM two""")
 def column_name_scores(spark, sf):
-    cells = D.cells(spark, sf)
-    pairs = H.pair_name_scores(cells).withColumn("of", F.lit("pair"))
-    return H.column_name_scores(cells).withColumn("of", F.lit("single")).unionByName(pairs).withColumn("score", F.round("score", 6))
+    return L.name_scores(D.cells(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(_CELLS + """, near AS (SELECT l.sheet_id, l.mark_type, l.row_idx, l.col_idx, arg_min(c.col_idx, rank) AS near FROM labels l, (VALUES (0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 0, 1), (4, 0, 2), (5, 0, 3)) p(rank, down, beside), filled c
   WHERE c.sheet_id = l.sheet_id AND c.row_idx = l.row_idx + down AND c.col_idx = l.col_idx + beside AND contains(c.str, 'النقطة') GROUP BY 1, 2, 3, 4)
 SELECT sheet_id, mark_type, row_idx, col_idx AS label_col, CAST(coalesce(near, CASE WHEN row_idx + 1 < n_rows THEN col_idx ELSE -1 END) AS INT) AS score_col FROM labels JOIN sizes USING (sheet_id) LEFT JOIN near USING (sheet_id, mark_type, row_idx, col_idx) WHERE row_idx < 5""")
 def score_label_columns(spark, sf):
-    return H.score_columns(D.cells(spark, sf))
+    return L.score_columns(D.cells(spark, sf))
 
 
 @query(_CELLS + """SELECT sheet_id, row_idx, CASE WHEN way = 0 AND row_idx = 0 THEN 'القسم : class ' || sheet_id WHEN way = 0 AND row_idx = 1 THEN 'رقم التلميذ إسم التلميذ الفرض الأول' WHEN way = 0 AND row_idx = 2 THEN 'النقطة'
 WHEN way IN (1, 3) AND row_idx = 0 THEN 'رقم Nom et prénom فرض 1' ELSE str END AS name FROM cells JOIN heads USING (sheet_id) WHERE col_idx = 1""")
 def roster_names(spark, sf):
-    cells = _held(D.cells(spark, sf))
-    return M.roster_names(cells, H.infer_structure(cells))
+    cells = D.cells(spark, sf)
+    return M.roster_names(cells, L.infer_structure(cells))
 
 
 @query(_CELLS + "SELECT sheet_id, row_idx, max(str) FILTER (col_idx = 0) AS number, max(str) FILTER (col_idx = 2) AS name, max(str) FILTER (col_idx = 3) AS fard1, max(str) FILTER (col_idx = 4) AS fard2, NULL::VARCHAR AS fard3, NULL::VARCHAR AS fard4, max(str) FILTER (col_idx = 5) AS activities FROM cells WHERE row_idx >= 2 GROUP BY 1, 2")
@@ -707,5 +706,4 @@ SELECT sheet_id, coalesce(b.col_idx, CASE WHEN t.score >= 0.6 THEN t.col_idx END
 @query(_UNTITLED)
 def untitled_name_columns(spark, sf):
     """Official sheets without a name title: the name's column by what it holds."""
-    cells = D.untitled_sheets(spark, sf)
-    return H.official_name_column(cells, H.header_cells(cells)).withColumn("name_col", F.col("name_col").cast("int"))
+    return L.official_names(D.untitled_sheets(spark, sf)).withColumn("name_col", F.col("name_col").cast("int"))

@@ -87,7 +87,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets in four layouts by turns: official with labels over score columns, French and Arabic titles, no titles, and (each fourth class parted in pairs) too few rows."""
     key, short = F.col("sheet_id") * PER_SHEET + F.col("row_idx") - 1, F.col("way") == 3
     parted = F.when(short, F.lit(1_000_000_000) + F.floor(key / 2)).otherwise(F.col("sheet_id"))
-    people = roster(spark, sf_dir).withColumn("way", F.col("sheet_id") % 4).select(parted.alias("sheet_id"), F.when(short, key % 2 + 1).otherwise(F.col("row_idx")).cast("int").alias("row_idx"), "name", "way")
+    people = spread(roster(spark, sf_dir), "sheet_id").withColumn("way", F.col("sheet_id") % 4).select(parted.alias("sheet_id"), F.when(short, key % 2 + 1).otherwise(F.col("row_idx")).cast("int").alias("row_idx"), "name", "way")
     row, n = F.col("row_idx"), F.col("row_idx")
     arabic = F.concat_ws(" ", F.get(F.array(*map(F.lit, GIVEN)), (row + F.col("sheet_id")).cast("int") % len(GIVEN)), F.get(F.array(*map(F.lit, FAMILY)), (row * 3).cast("int") % len(FAMILY)))
     mark = lambda k: (row * 7 + F.col("sheet_id") * 3 + k * 5) % 81 / 4

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import oracle
 from gradeloom.functions import scalars as S
 from gradeloom.functions.vocabulary import MARK_TYPES as TYPES
+from gradeloom.operators import layout as L
 from gradeloom.operators import matching as M
 from gradeloom.operators import recognition as R
 from gradeloom.operators import sheets as H
@@ -105,18 +106,18 @@ def test_sheet_layouts(spark):
     content = [[k, "محمد العلوي", 11.5, 9, 17, 18.25, 3] for k in range(1, 9)]
     small = [["اسم", "x"], ["a b", 1], ["c d", 2], ["e f", 3]]
     cells = spark.createDataFrame(grid(1, official) + grid(2, content) + grid(3, small), CELLS)
-    got = {r["sheet_id"]: r for r in H.infer_structure(cells).collect()}
+    got = {r["sheet_id"]: r for r in L.infer_structure(cells).collect()}
     one, two, three = got[1], got[2], got[3]
     assert (one["layout"], one["name_col"], one["id_col"], one["valid"]) == ("official", 1, 0, True)
     assert (one["mark_cols"]["fard1"], one["mark_cols"]["fard2"], one["mark_cols"]["fard3"]) == (2, 4, -1)
     assert (two["layout"], two["name_col"], two["id_col"]) == ("generic", 1, 0)
     assert (two["mark_cols"]["fard1"], two["mark_cols"]["activities"]) == (3, -1)  # one column late, as known
     assert not three["valid"]
-    mended = {r["sheet_id"]: r for r in H.infer_structure(cells, "corrected").collect()}
+    mended = {r["sheet_id"]: r for r in L.infer_structure(cells, "corrected").collect()}
     assert mended[2]["mark_cols"]["fard1"] == 2
     meta = {r["sheet_id"]: r["section"] for r in H.sheet_metadata(cells).collect()}
     assert meta == {1: "1A", 2: None, 3: None}
-    assert [r["sheet_id"] for r in H.available_types(cells, H.infer_structure(cells)).where("has_fard2").collect()] == [1, 2]
+    assert [r["sheet_id"] for r in H.available_types(cells, L.infer_structure(cells)).where("has_fard2").collect()] == [1, 2]
 
 
 def students_of(df):
