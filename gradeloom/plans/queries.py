@@ -16,6 +16,7 @@ from ..operators import statistics as T
 from ..operators import usage as U
 from ..sources import readers as I
 from ..sources import sheet_store as K
+from ..sources import used_ranges as G
 from ..streaming import incremental as N
 from . import tables as D
 
@@ -599,6 +600,18 @@ def cells_from_files(spark, sf):
     return I.read_cells(spark, path)
 
 
+@query(_CELLS + """, bounds AS (SELECT sheet_id, min(row_idx) AS r0, max(row_idx) AS r1, min(col_idx) AS c0, max(col_idx) AS c1 FROM cells WHERE kind <> 'e' GROUP BY 1),
+grid AS (SELECT sheet_id, CAST(row_idx AS INT) AS row_idx, CAST(unnest(range(c0, c1 + 1)) AS INT) AS col_idx FROM (SELECT *, unnest(range(r0, r1 + 1)) AS row_idx FROM bounds))
+SELECT sheet_id::VARCHAR AS sheet_id, CAST(row_idx + 3 + sheet_id % 2 AS INT) AS row_idx, CAST(col_idx + 2 AS INT) AS col_idx, CASE kind WHEN 'n' THEN 'number' WHEN 's' THEN 'string' ELSE 'empty' END AS kind,
+CASE WHEN kind = 'n' AND str::DOUBLE = floor(str::DOUBLE) THEN str::DOUBLE::BIGINT::VARCHAR ELSE coalesce(str, '') END AS str, CASE WHEN kind = 'n' THEN str::DOUBLE END AS num FROM grid LEFT JOIN cells USING (sheet_id, row_idx, col_idx)""")
+def cells_from_used_ranges(spark, sf):
+    """Sheets that begin some rows down and columns right, written as their used ranges and read at their true places."""
+    path = I.scratch_folder(spark, "ranges")
+    moved = D.cells(spark, sf).withColumns({"row_idx": F.col("row_idx") + 3 + (F.col("sheet_id") % 2).cast("int"), "col_idx": F.col("col_idx") + 2})
+    G.write_used_ranges(moved, path)
+    return G.read_used_ranges(spark, path)
+
+
 @query(_EDITS + "SELECT class_id, number, mark_type, mark, coalesce(uncertain, false) AS uncertain FROM edited")
 def corrections_from_files(spark, sf):
     """Marks corrected by a feed of JSON lines."""
