@@ -152,7 +152,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def mention_lists(texts: DataFrame, most: int = MAX_TERMS) -> list[list[str]]:
-    """Lists of two words: one that toxic texts hold more often than chance allows although MIN_CLEAN clean ones hold it too, and one as common that is as often in clean texts as any.
+    """Lists of two words: one that toxic texts hold more often than chance allows although MIN_CLEAN clean ones hold it too, and one as common that is as often in clean texts as any, drawn by hash.
 
     At most ``most`` lists, the most telling words first; none where the texts
     (toxic, text) have one label only. Both words of a list are in no other.
@@ -167,13 +167,13 @@ def mention_lists(texts: DataFrame, most: int = MAX_TERMS) -> list[list[str]]:
     scored = cut(word_counts(texts).withColumn("z", z), "toxicity-words")
     mentions = scored.where((F.col("z") >= CHI_SQUARE**0.5) & (F.col("hits") - F.col("toxic") >= MIN_CLEAN)).orderBy(F.desc("z"), "word").limit(most).select("word", "hits").collect()
     plain = scored.where(F.abs("z") < 0.5).orderBy(F.xxhash64("word"), "word").limit(20 * most).select("word", "hits").collect()
-    free = sorted((r["hits"], r["word"]) for r in plain)
+    free = sorted((r["hits"], place, r["word"]) for place, r in enumerate(plain))  # of one count by hash, so that partners share no beginning
     lists = []
     for r in mentions:
         if not free:
             break
-        at = min(bisect_left(free, (r["hits"], "")), len(free) - 1)
-        lists.append([r["word"], free.pop(at)[1]])
+        at = min(bisect_left(free, (r["hits"], -1)), len(free) - 1)
+        lists.append([r["word"], free.pop(at)[2]])
     return lists
 
 
