@@ -270,3 +270,16 @@ def test_marks_and_names_read_by_short_ways_are_the_same(spark):
         assert spark.createDataFrame([(raw,)], "raw string").select(S.parse_mark(F.col("raw")).alias("m")).first()["m"] == mark
     for raw, low in (("TOTAL", "total"), ("ÉLÈVE", "élève"), ("المجموع", "المجموع"), ("\u212a", "k"), (None, None)):
         assert spark.createDataFrame([(raw,)], "raw string").select(S.lowered(F.col("raw")).alias("m")).first()["m"] == low
+
+
+def test_a_batch_of_replies_is_read_once(spark, tmp_path):
+    from gradeloom.streaming import incremental as N
+
+    held = []
+    docs = spark.createDataFrame([("1", "رقم|الاسم|الفرض1\n1|احمد|5", None)], REPLIES.replace("long", "string"))
+    N.read_documents(docs, lambda df: held.append(df) or df)
+    assert len(held) == 3
+    with N.holding() as hold:
+        kept = hold(docs)
+        assert kept.storageLevel.useDisk
+    assert not kept.storageLevel.useDisk
