@@ -265,6 +265,18 @@ def test_two_places_by_the_exact_value(spark):
     assert [r[0] for r in rows.collect()] == ["10.57", "10.12", "7.00", None]
 
 
+def test_letters_rule_out_no_close_name(spark):
+    base = ["karim alaoui", "sara el idrissi", "aaaa bbbb", "nadia fassi zahra", "ali"]
+    edited = [n[:k] + x + n[k + d :] for n in base for k in range(len(n)) for d in (0, 1, 2) for x in ("", "q", "ab")] + [" ".join(reversed(n.split())) for n in base] + ["bbbb aaaa"]
+    pairs = spark.createDataFrame([(a, b) for a in base for b in sorted(set(edited))], "a string, b string")
+    bits = [x.alias(f"{c}_{k}") for c in ("a", "b") for x, k in zip(M.letter_bits(F.col(c)), M.LETTERS)]
+    config = S.NameMatch()
+    judged = pairs.select("a", "b", *bits).select(M.may_be_close(config).alias("maybe"), S.compare_names(F.col("a"), F.col("b"), config).alias("close")).groupBy("maybe", "close").count().collect()
+    counts = {(r["maybe"], r["close"]): r["count"] for r in judged}
+    assert (False, True) not in counts and counts[(True, True)] > 100
+    assert counts[(False, False)] > 4 * counts.get((True, False), 0)
+
+
 def test_marks_and_names_read_by_short_ways_are_the_same(spark):
     for raw, mark in (("15,5", 15.5), ("20.01", None), ("7", 7.0), ("محمد", None), ("oo", 0.0), ("15,50\n", 15.5), ("00,5", 0.5)):
         assert spark.createDataFrame([(raw,)], "raw string").select(S.parse_mark(F.col("raw")).alias("m")).first()["m"] == mark
