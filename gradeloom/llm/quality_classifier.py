@@ -2,9 +2,8 @@
 
 The model is over characters (UTF-16 units, lower-cased), four at a time: a
 64-bit key holds a 4-gram exactly, its context is the key without the last unit,
-and the gram one order lower is the key without the first. It is trained on a
-bounded sample of trusted texts (``TRUSTED_ROWS``, a parameter). Counts,
-discounts and probabilities are joins and groupings of small tables.
+and the gram one order lower is the key without the first. It is trained on all
+trusted texts. Counts, discounts and probabilities are joins and groupings of small tables.
 
 Scoring is a count join: texts are dealt to blocks, each block names its
 distinct 4-grams, the distinct 4-grams of all blocks join the model's tables
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ORDER = 4
-TRUSTED_ROWS = 20_000
 BLOCK_CHARS = 16_000_000
 QUANTILE = 0.999
 MARGIN = 1.1
@@ -151,8 +149,14 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bloc
     return dealt.groupBy("block").cogroup(back.repartitionById(blocks, "block").groupBy("block")).applyInPandas(score, f"doc_id {kind}, lang string, units long, perplexity double")
 
 
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of all trusted documents (label quality 1); their ids are written, so they are broadcast only while they are measured small."""
+    good = cut(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "quality-trusted")
+    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+
+
 def trusted_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 5) -> DataFrame:
-    """Texts of about ``rows`` trusted documents (label quality 1), seeded; their ids, at most a few more than ``rows``, are broadcast."""
+    """For models of bounded cost, which ``judge`` doesn't use: texts of about ``rows`` trusted documents (label quality 1), seeded; their ids, at most a few more than ``rows``, are broadcast."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     total = good.count()
     share = round(1_000_000 * min(1.0, rows / total)) if total else 0
@@ -160,7 +164,7 @@ def trusted_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 5)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, units, perplexity, threshold, kept) per row of ``docs`` (doc_id, text, lang).
 
     A language's threshold is ``margin`` times the ``quantile`` of perplexity over
@@ -170,7 +174,7 @@ def judge(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, quantile
     no threshold, and is kept unless it is empty. Repeated rows are judged each;
     an empty table gives no rows; other columns are ignored.
     """
-    scored = cut(perplexities(docs, train(trusted_sample(docs, labels, rows))), "quality-scores")
+    scored = cut(perplexities(docs, train(trusted_texts(docs, labels))), "quality-scores")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     trusted = scored.where("units > 0").join(good, "doc_id", "left_semi")
     by_lang = trusted.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, F.lit(100_000)).alias("limit"))

@@ -1017,3 +1017,16 @@ def test_a_lookup_keeps_few_maps_and_no_files(spark, tmp_path):
     assert len(os.listdir("/proc/self/fd")) <= before + 2
     with open("/proc/self/maps") as maps:
         assert sum(f"{tmp_path}/word-" in x for x in maps) <= kneser_ney.MAPS
+
+
+def test_quality_model_is_trained_on_all_trusted_texts(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def train(texts):
+        raise Seen(texts.count())
+
+    monkeypatch.setattr(quality_classifier, "train", train)
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    with pytest.raises(Seen, match="^30000$"):
+        quality_classifier.judge(docs, spark.range(40_000).selectExpr("id as doc_id", "1 as quality"))
