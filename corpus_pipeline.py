@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a similarity of 0.8 of five-word shingles joins; no such pair is left out."""
+    """One document of each group that a similarity of 0.8 of five-word shingles joins: SimHash groups, checked exactly, then an exact search among what they leave apart; no such pair is left out."""
     return simhash.keep_one(docs)
 
 

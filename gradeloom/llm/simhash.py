@@ -18,8 +18,10 @@ under near(u_i) x around(u_j) and on the right under around(u_i) x near(u_j):
 for some pair. The join on (pair, key) verifies the true distance, so results
 are exact. Only distinct fingerprints are joined: copies never multiply.
 
-The pipeline's groups by shingle similarity (``similar_groups``) are exact too and
-use neither fingerprints nor the code: SimHash always misses some pairs.
+The pipeline's groups by shingle similarity (``similar_groups``) go through these
+fingerprints and links first: what they join is checked against the whole shingle
+sets, and texts that it joins are compared no more. SimHash always misses some
+pairs, so an exact search follows among the texts that are still apart.
 """
 
 from __future__ import annotations
@@ -129,11 +131,8 @@ def keyed(prints: DataFrame) -> DataFrame:
     return prints.select("fp").mapInArrow(scan, "side byte, key int, fp long")
 
 
-def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at most ``max_bits`` (up to 3) bits apart; a pair may repeat."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two segments of three hold at most one error each only up to three errors")
-    keys = cut(keyed(prints.select("fp").distinct()), "simhash-keys")
+def links(keys: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints at most ``max_bits`` (up to 3) bits apart, by their ``keyed`` keys; a pair may repeat."""
     left = keys.where("side = 0").select("key", F.col("fp").alias("u"))
     right = keys.where("side = 1").select("key", F.col("fp").alias("v"))
     near = left.join(right, "key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits))
@@ -149,8 +148,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     if no other row is in it. Repeated rows come out as often as they came in.
     An empty table gives no rows; other columns are ignored.
     """
-    prints = cut(fingerprints(docs, shingle, seed), "simhash-prints")
-    groups = connected_components(links(prints, max_bits), "simhash-links")
+    return grouped_prints(cut(fingerprints(docs, shingle, seed), "simhash-prints"), max_bits)
+
+
+def grouped_prints(prints: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``near_duplicates`` of documents whose fingerprints are known: written ``prints`` (doc_id, fp)."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two segments of three hold at most one error each only up to three errors")
+    keys = cut(keyed(prints.select("fp").distinct()), "simhash-keys")
+    groups = connected_components(links(keys, max_bits), "simhash-links")
+    drop_cut(keys)
     smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     grouped = smallest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -346,10 +353,17 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
+def likely_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): each text, by node, under the smallest of its SimHash component, from ``texts`` (node, fp)."""
+    prints = cut(texts.select(F.col("node").alias("doc_id"), "fp").distinct(), "similar-prints")
+    return cut(grouped_prints(prints).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "similar-likely")
+
+
+def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int, likely: DataFrame) -> DataFrame:
     """(a, b): pairs of texts, by node, that are alike, and enough of them to give the components of all such pairs.
 
-    Texts that share a prefix key are compared with the key's smallest node first.
+    The ``likely`` pairs (a, b), which have each b once and under an a that is no b, are compared first.
+    Then texts that share a prefix key and are still apart are compared with the key's smallest node.
     What these links join is one component however many pairs it has; a second
     text for each key follows, and then every pair under a key that is not yet
     joined is looked at too: those whose places under the key or whose parity
@@ -362,9 +376,12 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     shared = cut(keyed.join(heads, "key").distinct(), "similar-shared")
     drop_cut(keyed)
     sets = cut(shingle_sets(docs, shared.select("node"), shingle), "similar-sets")
+    # alike texts share a prefix key, so a likely pair without sets is not alike
+    likely = cut(verified(likely, sets, bound), "similar-by-print")
     head_rows = shared.where("node = head").select("key", F.col("place").alias("other_place"), F.col("size").alias("other_size"))
-    stars = cut(shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
-    first = cut(verified(stars, sets, bound), "similar-first")
+    under_heads = shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(not_joined(under_heads, likely), "similar-stars")
+    first = likely.unionByName(cut(verified(stars, sets, bound), "similar-first"))
     open_rows = cut(apart(shared.drop("head"), first).join(sets.select("node", *PARITY), "node"), "similar-open")
     drop_cut(shared)
     # then one text of each key, another one for each, so that a group that the first heads did not join falls together
@@ -381,6 +398,13 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int) -> DataFrame:
     return first.unionByName(cut(verified(left, sets, bound), "similar-second"))
 
 
+def not_joined(pairs: DataFrame, likely: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that are not in one star of ``likely``."""
+    star = lambda end: likely.select(F.col("b").alias(end), F.col("a").alias(f"top_{end}"))
+    topped = pairs.join(star("a"), "a", "left").join(star("b"), "b", "left")
+    return topped.where(F.coalesce("top_a", "a") != F.coalesce("top_b", "b")).select("a", "b")
+
+
 def apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows of ``shared`` under keys whose texts ``edges`` do not join all, with their component."""
     groups = connected_components(edges, "similar-links")
@@ -408,11 +432,13 @@ def grouped_texts(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [words_and_node(t.as_py())[1] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
+            texts = batch.column(1).to_pylist()
+            nodes = [words_and_node(t)[1] for t in texts]
+            prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "node", "fp"])
 
-    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long"), "similar-texts")
-    groups = connected_components(alike_pairs(docs, bound, shingle), "similar-links")
+    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long, fp long"), "similar-texts")
+    groups = connected_components(alike_pairs(docs, bound, shingle, likely_pairs(texts)), "similar-links")
     nodes = texts.groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -423,7 +449,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -
     """(doc_id, component_id) of texts joined by a shingle similarity of at least ``similarity``.
 
     The similarity is that of the whole sets of ``shingle``-word shingles, and all
-    pairs of at least ``similarity`` are joined: candidates are the texts that
+    pairs of at least ``similarity`` are joined. Candidates are the components of
+    ``near_duplicates``, by SimHash, and for what is still apart the texts that
     share one of their first shingles in one order (``prefix_keys``), which leaves
     out no such pair. Equal texts are one from the start. component_id is the
     smallest doc_id of a component, null if none has an id.

@@ -546,6 +546,31 @@ def alike(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_similar_groups_go_through_simhash(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    long, short, phrase = [word() for _ in range(3000)], [word() for _ in range(300)], [word() for _ in range(11)] * 200
+    changed = lambda words, at: " ".join(word() if k in at else w for k, w in enumerate(words))
+    texts = {k: " ".join(phrase + [word() for _ in range(30)]) for k in (1, 2)}  # one fingerprint, few distinct shingles in common
+    texts |= {10: " ".join(long), 11: changed(long, {700}), 20: " ".join(short), 21: changed(short, set(range(20, 300, 50)))}
+    bits = lambda a, b: bin(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).count("1")
+    assert bits(1, 2) == 0 and bits(10, 11) <= 3 < bits(20, 21) and alike(shingles(texts[20]), shingles(texts[21])) > 0.8
+    steps, true, node = [], simhash.verified, {simhash.words_and_node(t)[1]: i for i, t in texts.items()}
+
+    def verified(some, sets, bound):
+        good = common.cut(true(some, sets, bound), "seen")
+        steps.append([{tuple(sorted((node[a], node[b]))) for a, b in pairs(df, "a", "b")} for df in (some, good)])
+        return good
+
+    monkeypatch.setattr(simhash, "verified", verified)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(pairs(simhash.similar_groups(df), "doc_id", "component_id")) == {1: 1, 2: 2, 10: 10, 11: 10, 20: 20, 21: 20}
+    (asked, joined), *after = steps
+    assert asked == {(1, 2), (10, 11)} and joined == {(10, 11)}
+    later = set().union(*(some for some, _ in after))
+    assert (20, 21) in later and (10, 11) not in later  # what SimHash misses is found, what it joined is compared no more
+
+
 def test_similar_groups(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(5000)]
