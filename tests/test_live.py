@@ -43,6 +43,23 @@ def test_gate_decides_in_event_order_over_restarts(spark, tmp_path):
     assert {tuple(r) for r in batch.select("key", "event_id", "decision", "remaining", "suspends").collect()} == third
 
 
+def test_gate_decides_keys_that_share_a_bucket(spark, tmp_path):
+    """Many keys are few states: each has its own count, limit and order, over restarts."""
+    limits = spark.range(60).selectExpr("concat('k', id) as key", "cast(id % 7 as int) as upload_limit")
+    every = [(f"k{n % 60}", f"e{n}", START + dt.timedelta(minutes=n // 150 * 150 + n * 37 % 150)) for n in range(450)]
+    for part in range(3):
+        rows = every[150 * part : 150 * part + 150]
+        rows = rows + rows[::7]  # some come twice
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / str(part)).write_text("\n".join(json.dumps({"key": k, "event_id": e, "ts": t.isoformat()}) for k, e, t in rows) + "\n")
+        stream = spark.readStream.schema("key string, event_id string, ts timestamp").json(str(tmp_path / "in"))
+        assert N.follow_uploads(stream, limits, str(tmp_path / "out"), str(tmp_path / "state"), late_seconds=12_030, buckets=3).awaitTermination(180)
+    due = START + dt.timedelta(minutes=449, seconds=-12_030)
+    got = spark.read.schema(N.DECISION).parquet(str(tmp_path / "out")).drop("batch").collect()
+    late = U.upload_decisions(spark.createDataFrame(every, "key string, event_id string, ts timestamp"), limits)
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in late.collect() if r["ts"] <= due) and len({r["key"] for r in got}) == 60
+
+
 def test_change_log(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path / "log"), "k string, n long, v int", ["k", "n"], by=["k"], order=["v"])
     rows = lambda *r: spark.createDataFrame(list(r), log.schema)
