@@ -1055,3 +1055,22 @@ def test_quality_model_is_trained_on_all_trusted_texts(spark, monkeypatch):
     docs = spark.range(30_000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
     with pytest.raises(Seen, match="^30000$"):
         quality_classifier.judge(docs, spark.range(40_000).selectExpr("id as doc_id", "1 as quality"))
+
+
+def test_trusted_texts_are_exact_and_not_shuffled(spark):
+    docs = spark.range(30_000).selectExpr("nullif(id, 7) as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = spark.range(0, 60_000, 3).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    want = sorted(f"text {i}" for i in range(3, 30_000, 6))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # all trusted ids together are more than that
+    try:
+        found = quality_classifier.trusted_texts(docs, labels)
+        assert sorted(t for (t,) in pairs(found, "text")) == want
+        found = quality_classifier.trusted_texts(docs, labels)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(t for (t,) in pairs(quality_classifier.trusted_texts(docs, labels, 1 << 12), "text")) == want  # a filter that lets nearly all through
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert quality_classifier.trusted_texts(docs, labels.limit(0)).count() == 0
+    repeated = docs.unionByName(docs.where("doc_id < 100"))
+    assert quality_classifier.trusted_texts(repeated, labels.withColumn("doc_id", F.col("doc_id").cast("int"))).count() == len(want) + 17
