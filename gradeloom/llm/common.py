@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from urllib.parse import urlsplit
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,44 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked_bits(places: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits (a multiple of 64) as unsigned words, of which those in the column place are set; held by the driver."""
+    words = places.select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(size >> 6, dtype=np.uint64)
+    marks[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+FILTER_BITS = 16  # for each id
+MOST_BITS = 1 << 28
+SEEDS = (11, 12, 13, 14)
+
+
+def filter_size(n: int, most_bits: int = MOST_BITS) -> int:
+    return min(most_bits, 1 << max(6, (FILTER_BITS * n - 1).bit_length()))
+
+
+def id_filter(ids: DataFrame, most_bits: int = MOST_BITS):
+    """A condition on doc_id that is true for all of ``ids`` and, by chance, for about one in 400 others: a Bloom filter.
+
+    Of very many ids it lets more others through, as it never has more than
+    ``most_bits`` (a power of two); it never leaves out one of ``ids``.
+    """
+    size = filter_size(ids.count(), most_bits)
+    places = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(size)) for seed in SEEDS])
+    shared = ids.sparkSession.sparkContext.broadcast(marked_bits(ids.select(F.explode(places).alias("place")), size))
+
+    @F.arrow_udf("boolean")
+    def passes(*columns: pa.Array) -> pa.Array:
+        good = np.ones(len(columns[0]), dtype=bool)
+        for column in columns:
+            at = column.to_numpy(zero_copy_only=False)
+            good &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(good)
+
+    return passes(*[F.get(places, F.lit(k)) for k in range(len(SEEDS))])
+
+
 def local_path(uri: str) -> str | None:
     """The path behind a file: URI, or None for another kind of store."""
     parts = urlsplit(uri)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import MOST_BITS, cut, id_filter
 
 ORDER = 4
 BLOCK_CHARS = 16_000_000
@@ -149,36 +149,6 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], bloc
     return dealt.groupBy("block").cogroup(back.repartitionById(blocks, "block").groupBy("block")).applyInPandas(score, f"doc_id {kind}, lang string, units long, perplexity double")
 
 
-FILTER_BITS = 16  # for each trusted id
-MOST_BITS = 1 << 28
-SEEDS = (11, 12, 13, 14)
-
-
-def id_filter(ids: DataFrame, most_bits: int = MOST_BITS):
-    """A condition on doc_id that is true for all of ``ids`` and, by chance, for about one in 400 others: a Bloom filter.
-
-    Of very many ids it lets more others through, as it never has more than
-    ``most_bits`` (a power of two); it never leaves out one of ``ids``.
-    """
-    size = min(most_bits, 1 << max(6, (FILTER_BITS * ids.count() - 1).bit_length()))
-    places = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(size)) for seed in SEEDS])
-    each = ids.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    words = each.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    marks = np.zeros(size >> 6, dtype=np.uint64)
-    marks[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = ids.sparkSession.sparkContext.broadcast(marks)
-
-    @F.pandas_udf("boolean")
-    def passes(*columns: pd.Series) -> pd.Series:
-        good = np.ones(len(columns[0]), dtype=bool)
-        for column in columns:
-            at = column.to_numpy()
-            good &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pd.Series(good)
-
-    return passes(*[F.get(places, F.lit(k)) for k in range(len(SEEDS))])
-
-
 def trusted_texts(docs: DataFrame, labels: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """The texts of all trusted documents (label quality 1), without a shuffle of texts.
 

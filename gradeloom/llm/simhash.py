@@ -21,7 +21,9 @@ are exact. Only distinct fingerprints are joined: copies never multiply.
 The pipeline's groups by shingle similarity (``similar_groups``) go through these
 fingerprints and links first: what they join is checked against the whole shingle
 sets, and texts that it joins are compared no more. SimHash always misses some
-pairs, so an exact search follows among the texts that are still apart.
+pairs, so an exact search follows among the texts that are still apart. Shingle
+sets are larger than their texts, so they are never stored for all: pairs that
+sizes and parity bits don't rule out have theirs made from the documents again.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, cut, drop_cut
+from .common import MOST_BITS, connected_components, cut, drop_cut, filter_size, id_filter, marked_bits
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -127,6 +130,7 @@ def keyed(prints: DataFrame) -> DataFrame:
                         real = np.ones(key.shape, dtype=bool)
                         real[:, 1:] = many[:, 1:] != many[:, :1]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(int(real.sum()), side, np.int8)), pa.array(key[real].astype(np.int32)), pa.array(np.repeat(fp.view(np.int64), real.sum(1)))], names=["side", "key", "fp"])
+        golay_tables.cache_clear()  # the worker's memory is free for what comes next
 
     return prints.select("fp").mapInArrow(scan, "side byte, key int, fp long")
 
@@ -311,16 +315,30 @@ def few_differences(bound: Fraction):
     return bits * (up + low) <= (low - up) * (F.col("size") + F.col("other_size"))
 
 
+def shared_rows(keyed: DataFrame, heads: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``keyed`` under the keys of ``heads``, and by chance few others: a filter that doesn't move the many rows under keys of one text."""
+    size, n = filter_size(heads.count(), most_bits), len(SLICES)
+    slices = F.array(*[F.shiftright("key", k).bitwiseAND(F.lit(size - 1)) for k in SLICES])
+    shared = keyed.sparkSession.sparkContext.broadcast(marked_bits(heads.select(F.explode(slices).alias("place")), size))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, good = batch.column(0).to_numpy(), np.ones(batch.num_rows, dtype=bool)
+            for k in range(n):
+                at = key >> SLICES[k] & (size - 1)
+                good &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(good))
+
+    return keyed.select("key", "node", "place", "size").mapInArrow(scan, "key long, node long, place int, size int")
+
+
+SLICES = (0, 18, 36)  # keys are hashes, so bits from these on are three more
 BITS = 1 << 24  # of the marks that a driver holds for the texts to read again
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles, parity bits): all shingle hashes of the texts in ``nodes``, and by chance of few others."""
-    place = F.pmod("node", F.lit(BITS))
-    words = nodes.select(F.floor(place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(node, 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    marks = np.zeros(BITS // 64, dtype=np.uint64)
-    marks[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    """(node, shingles): all shingle hashes of the texts in ``nodes``, and by chance of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(marked_bits(nodes.select(F.pmod("node", F.lit(BITS)).alias("place")), BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = shared.value, set()
@@ -329,18 +347,23 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             for node, words in distinct_texts(batch.column(0), seen):
                 at = node % BITS
                 if int(marks[at >> 6]) >> (at & 63) & 1:
-                    own = shingle_hashes(words, shingle)
-                    found.append((node, own.tobytes(), parities(own)))
-            bits = np.array([b for _, _, b in found], dtype=np.int64).reshape(-1, len(PARITY))
-            columns = [pa.array([n for n, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(PARITY)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", *PARITY])
+                    found.append((node, shingle_hashes(words, shingle).tobytes()))
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
 
-    schema = "node long, shingles binary, " + ", ".join(f"{c} long" for c in PARITY)
-    return docs.select("text").mapInArrow(scan, schema).groupBy("node").agg(*[F.first(c).alias(c) for c in ("shingles", *PARITY)])
+    return docs.select("text").mapInArrow(scan, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole shingle sets are alike."""
+class Sets(NamedTuple):
+    """What tells the shingle sets of the texts of ``docs``: written ``marks`` (node, size, parity bits) of those with words, and the length of a shingle."""
+
+    docs: DataFrame
+    marks: DataFrame
+    shingle: int
+
+
+def verified(pairs: DataFrame, sets: Sets, bound: Fraction) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole shingle sets are alike, written. Sets are made for the pairs alone that sizes and parity bits leave."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x.as_buffer(), dtype="<u8")
@@ -348,9 +371,15 @@ def verified(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
             good = pa.array([alike(read(x), read(y), bound) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    of_b = sets.marks.select(F.col("node").alias("b"), *(F.col(c).alias(f"other_{c}") for c in ("size", *PARITY)))
+    near = cut(pairs.join(sets.marks.withColumnRenamed("node", "a"), "a").join(of_b, "b").where(few_differences(bound)).select("a", "b"), "similar-near")
+    if near.isEmpty():
+        return near
+    hashes = cut(shingle_sets(sets.docs, near.select(F.col("a").alias("node")).union(near.select("b")), sets.shingle), "similar-sets")
+    left, right = (hashes.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    good = cut(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "similar-alike")
+    drop_cut(hashes)
+    return good
 
 
 def likely_pairs(texts: DataFrame) -> DataFrame:
@@ -359,7 +388,7 @@ def likely_pairs(texts: DataFrame) -> DataFrame:
     return cut(grouped_prints(prints).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")), "similar-likely")
 
 
-def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int, likely: DataFrame) -> DataFrame:
+def alike_pairs(sets: Sets, bound: Fraction, likely: DataFrame) -> DataFrame:
     """(a, b): pairs of texts, by node, that are alike, and enough of them to give the components of all such pairs.
 
     The ``likely`` pairs (a, b), which have each b once and under an a that is no b, are compared first.
@@ -371,31 +400,32 @@ def alike_pairs(docs: DataFrame, bound: Fraction, shingle: int, likely: DataFram
     compared. A key whose texts are mostly not alike takes bit counts of the
     square of their number, and comparisons of few more pairs than are alike.
     """
-    keyed = cut(prefix_keys(docs, bound, shingle), "similar-keys")
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-    shared = cut(keyed.join(heads, "key").distinct(), "similar-shared")
+    keyed = cut(prefix_keys(sets.docs, bound, sets.shingle), "similar-keys")
+    heads = cut(keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "similar-heads")
+    shared = cut(shared_rows(keyed, heads).join(heads, "key").distinct(), "similar-shared")
     drop_cut(keyed)
-    sets = cut(shingle_sets(docs, shared.select("node"), shingle), "similar-sets")
-    # alike texts share a prefix key, so a likely pair without sets is not alike
-    likely = cut(verified(likely, sets, bound), "similar-by-print")
+    drop_cut(heads)
+    likely = verified(likely, sets, bound)
     head_rows = shared.where("node = head").select("key", F.col("place").alias("other_place"), F.col("size").alias("other_size"))
     under_heads = shared.where("node <> head").join(head_rows, "key").where(may_be_alike(bound)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(not_joined(under_heads, likely), "similar-stars")
-    first = likely.unionByName(cut(verified(stars, sets, bound), "similar-first"))
-    open_rows = cut(apart(shared.drop("head"), first).join(sets.select("node", *PARITY), "node"), "similar-open")
+    first = likely.unionByName(verified(stars, sets, bound))
+    open_rows = cut(apart(shared.drop("head"), first).join(sets.marks.select("node", *PARITY), "node"), "similar-open")
     drop_cut(shared)
     # then one text of each key, another one for each, so that a group that the first heads did not join falls together
     ranked = open_rows.withColumn("rank", F.xxhash64("key", "node"))
     tops = ranked.groupBy("key").agg(F.min("rank").alias("rank"))
     pairs = open_pairs(open_rows, ranked.join(tops, ["key", "rank"]).drop("rank")).where(may_be_alike(bound) & few_differences(bound))
     more = cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"), "similar-more")
-    first = first.unionByName(cut(verified(more, sets, bound), "similar-again"))
+    first = first.unionByName(verified(more, sets, bound))
     still_open = cut(apart(open_rows.drop("component"), first), "similar-open")
     drop_cut(open_rows)
     open_rows = still_open
     rest = open_pairs(open_rows, open_rows).where((F.col("node") < F.col("other_node")) & may_be_alike(bound) & few_differences(bound))
     left = ordered(rest).join(stars.unionByName(more), ["a", "b"], "left_anti")
-    return first.unionByName(cut(verified(left, sets, bound), "similar-second"))
+    second = verified(left, sets, bound)
+    drop_cut(open_rows)
+    return first.unionByName(second)
 
 
 def not_joined(pairs: DataFrame, likely: DataFrame) -> DataFrame:
@@ -433,12 +463,21 @@ def grouped_texts(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            nodes = [words_and_node(t)[1] for t in texts]
+            nodes, size, bits = [], [], np.zeros((len(texts), len(PARITY)), dtype=np.int64)
+            for k, text in enumerate(texts):
+                words, node = words_and_node(text)
+                own = shingle_hashes(words, shingle)
+                nodes.append(node)
+                size.append(len(own))
+                bits[k] = parities(own)
             prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "node", "fp"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(prints.view(np.int64)), pa.array(size, pa.int32()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(PARITY)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "fp", "size", *PARITY])
 
-    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, node long, fp long"), "similar-texts")
-    groups = connected_components(alike_pairs(docs, bound, shingle, likely_pairs(texts)), "similar-links")
+    schema = f"doc_id {kind}, node long, fp long, size int, " + ", ".join(f"{c} long" for c in PARITY)
+    texts = cut(docs.select("doc_id", "text").mapInArrow(scan, schema), "similar-texts")
+    marks = cut(texts.where("size > 0").select("node", "size", *PARITY).dropDuplicates(["node"]), "similar-marks")
+    groups = connected_components(alike_pairs(Sets(docs, marks, shingle), bound, likely_pairs(texts)), "similar-links")
     nodes = texts.groupBy("node").agg(F.min("doc_id").alias("least"))
     grouped = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -464,7 +503,12 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     Rows of one doc_id whose texts are in different groups stand for each of them.
     Rows whose doc_id is null can't be named as one of a group; they stay.
     """
-    kept = grouped_texts(docs, similarity, shingle).where("doc_id = component_id").select("doc_id", "node", "component").distinct()
+    rows = cut(grouped_texts(docs, similarity, shingle).where("doc_id is not null"), "similar-rows")
+    kept = rows.where("doc_id = component_id").select("doc_id", "node", "component").distinct()
+    # an id that is one row's alone says whether that row stays; texts are moved for the other ids only
+    ids = cut(rows.groupBy("doc_id").agg((F.count("*") == 1).alias("once"), F.bool_and(F.col("doc_id") == F.col("component_id")).alias("stays")), "similar-ids")
+    unsure = id_filter(ids.where("not (once and stays)"))
+    open_ids = cut(ids.where(unsure).where("stays or not once"), "similar-open-ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,9 +516,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], names=["row", "doc_id", "node"])
 
     # a row is held whole in one struct, so that no name of its columns meets ours
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct("*").alias("row"), "doc_id", "text")
+    # written, as a stage with two Python steps holds two workers a core
+    contested = cut(docs.where(F.col("doc_id").isNotNull() & unsure & id_filter(open_ids)), "similar-contested")
+    rows = contested.select(F.struct("*").alias("row"), "doc_id", "text")
     schema = StructType([rows.schema["row"], rows.schema["doc_id"], StructField("node", LongType())])
     named = rows.mapInArrow(scan, schema).join(kept, ["doc_id", "node"])
     tie = F.xxhash64(F.to_json(F.struct(*(F.col("row")[c] for c in docs.columns if c != "text"))))
     first = F.row_number().over(Window.partitionBy("component").orderBy("row.text", tie))
-    return named.withColumn("place", first).where("place = 1").select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.withColumn("place", first).where("place = 1").select("row.*").unionByName(docs.where(F.col("doc_id").isNull() | ~unsure))

@@ -695,6 +695,23 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted(n for (n,) in pairs(kept, "node")) == ["1a", "1b", "3c"]
 
 
+def test_keep_one_shuffles_no_texts_and_few_shingle_sets(spark):
+    """Unrelated texts that share a shingle, a few near copies and an id that comes twice: neither all texts nor all shingle sets are moved."""
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(10**9):x}" for _ in range(600)] for _ in range(400)]
+    for a, b in zip(texts[::2], texts[1::2]):
+        b[:5] = a[:5]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rows += [(1000 + k, " ".join(texts[k][:-3])) for k in range(10)]
+    rows += [(5, "another text of a known id and of more than five words"), (7, rows[7][1]), (None, rows[8][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    kept = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted(rows[:400] + [rows[410], rows[412]], key=str)
+    assert shuffled() - before < sum(len(t) for _, t in rows if t)
+
+
 def test_keep_one_settles_ties_alike_in_any_order(spark):
     """Rows with the same id and text but other columns: the same one stays however the rows lie."""
     rows = [(i, "".join(f"w{i}{k} " for k in range(20)), f"from{n}") for i in (1, 2) for n in range(6)]
