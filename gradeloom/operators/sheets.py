@@ -31,7 +31,11 @@ def official_layout(cells: DataFrame) -> DataFrame:
 
 
 def sheet_metadata(cells: DataFrame) -> DataFrame:
-    """(sheet_id, level, section): values beside or below the first label that has one."""
+    """(sheet_id, level, section): values beside or below the first label that has one.
+
+    The few places asked for are held in memory, a share of them in each of the
+    session's shuffle partitions, and the cells stream by them unsorted.
+    """
     shown = cells.where("row_idx < 20")
     kinds = F.array_compact(F.array(*[F.when(any_of(F.col("str"), words), F.lit(kind)) for kind, words in V.META_LABELS.items()]))
     labels = _text(shown).select("sheet_id", F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), F.explode(kinds).alias("kind"))
@@ -39,7 +43,8 @@ def sheet_metadata(cells: DataFrame) -> DataFrame:
     places = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(d).alias("d"), F.lit(r).alias("r")) for k, (d, r) in enumerate(offsets)])
     asked = labels.withColumn("p", F.explode(places)).select("sheet_id", "kind", "row", "col", "p.rank", (F.col("row") + F.col("p.d")).alias("row_idx"), (F.col("col") + F.col("p.r")).alias("col_idx"))
     values = shown.select("sheet_id", "row_idx", "col_idx", trim(F.coalesce("str", F.lit(""))).alias("value")).where("value <> ''")
-    near = asked.join(values, ["sheet_id", "row_idx", "col_idx"]).where((F.col("rank") > 3) | ~F.col("value").isin(":", "-", "؛"))
+    n, place = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["sheet_id", "row_idx", "col_idx"]
+    near = asked.repartition(n, *place).hint("shuffle_hash").join(values.repartition(n, *place), place).where((F.col("rank") > 3) | ~F.col("value").isin(":", "-", "؛"))
     first = near.groupBy("sheet_id").agg(*[F.min_by("value", F.when(F.col("kind") == k, F.struct("row", "col", "rank"))).alias(k) for k in V.META_LABELS])
     return cells.select("sheet_id").distinct().join(first, "sheet_id", "left")
 

@@ -295,3 +295,16 @@ def test_a_batch_of_replies_is_read_once(spark, tmp_path):
         kept = hold(docs)
         assert kept.storageLevel.useDisk
     assert not kept.storageLevel.useDisk
+
+
+def test_sheet_metadata_streams_cells_by_the_places_asked_for(spark):
+    rows = [(1, 0, 0, "string", "القسم", None), (1, 0, 1, "string", ":", None), (1, 0, 2, "string", "class 1", None), (2, 3, 1, "string", "مستوى", None), (2, 4, 1, "number", "6", 6.0), (3, 0, 0, "string", "x", None)]
+    cells = spark.createDataFrame(rows, "sheet_id long, row_idx int, col_idx int, kind string, str string, num double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = H.sheet_metadata(cells)
+        assert sorted(map(tuple, found.select("sheet_id", "level", "section").collect())) == [(1, None, "class 1"), (2, "6", None), (3, None, None)]
+        assert "ShuffledHashJoin [sheet_id" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
